@@ -7,10 +7,11 @@
    sketch, ordered by how rare its values are, the first ``size - c + 1`` must hold a shared one: only
    those postings are kept. Passages that very many texts share stand last in that order.
 3. A list is not expanded into pairs. Each of its sets meets the list's smallest member (linear);
-   what that links is one component. Only lists in which several components remain are taken pair by
-   pair, and there only pairs across components.
+   what that links is one component. Sets in lists where several components remain are listed anew by the
+   exact prefixes of their full sets, and meet only across components and only if the places of the
+   shared shingle leave room for the overlap that their sizes need (an exact bound, no cap).
 4. A pair passes if the union sketch estimates enough similarity (five standard deviations of slack),
-   and is then confirmed on the full shingle sets, which are recomputed for the texts concerned only.
+   and is then confirmed on the full shingle sets, which are recomputed for listed texts only.
 5. Components by star contraction; only counts and checksums come to the driver.
 
 Results. A null or empty text, or one of spaces, has an empty set: linked with nothing. A text with
@@ -109,7 +110,18 @@ def _overlap_column(k: int, percent: int):
     return F.when(F.col("n") <= k * percent // 100, exact).otherwise(F.lit(required_overlap(k, percent))).cast("int")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, width: int, k: int, percent: int) -> DataFrame:
+def _prefixes(sets: DataFrame, needed) -> DataFrame:
+    """(id, n, v, at): of each set's values (column sketch), rarest first, those that a partner with ``needed``
+    common values cannot all miss, and their places in that order. Values of one set alone are left out."""
+    values = sets.select("id", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
+    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = values.join(common, "v").groupBy("id", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_rarity"))
+    kept = shared.where(F.size("by_rarity") >= needed)
+    first = F.slice(F.col("by_rarity"), F.lit(1), F.size("by_rarity") - needed + 1)
+    return kept.select("id", "n", (F.col("held") - F.size("by_rarity")).alias("alone"), F.posexplode(first).alias("k", "x")).select("id", "n", F.col("x.v").alias("v"), (F.col("alone") + F.col("k")).alias("at"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets reach the threshold."""
     slack = _SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / k)
     small = sets.select("id", "n", "sketch")
@@ -117,10 +129,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, t
     both = pairs.join(b, "b").join(a, "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    likely = cut(both.where(shared >= F.size(union) * (percent / 100 - slack)).select("a", "b").distinct())
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    whole = full_sets(texts, "id", "text", width)
+    likely = both.where(shared >= F.size(union) * (percent / 100 - slack)).select("a", "b").distinct()
     met = likely.join(whole.toDF("b", "xb"), "b").join(whole.toDF("a", "xa"), "a")
     common = F.size(F.array_intersect("xa", "xb"))
     return met.where(common * 100 >= (F.size("xa") + F.size("xb") - common) * percent).select("a", "b")
@@ -134,24 +143,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(groups)
     reps = sets.select(F.col("rep").alias("id"), "n", "sketch")
 
-    postings = reps.select("id", "n", F.explode("sketch").alias("v"))
-    common = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = postings.join(common, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_rarity"))
-    needed = _overlap_column(k, percent)
-    prefix = shared.where(F.size("by_rarity") >= needed).select("id", F.explode(F.slice(F.col("by_rarity"), F.lit(1), F.size("by_rarity") - needed + 1)).alias("x")).select("id", F.col("x.v").alias("v"))
-    listed = cut(prefix)
+    listed = cut(_prefixes(reps, _overlap_column(k, percent)).select("id", "v"))
     first = listed.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
-    stars = listed.join(first, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = cut(_verified(stars, docs, reps, id_col, text_col, width, k, percent))
+    stars = cut(listed.join(first, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    wanted = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    whole = cut(full_sets(texts, "id", "text", width))
+    links = cut(_verified(stars, reps, whole, k, percent))
     label = cut(components(links))
 
-    # Lists in which several components are left: all pairs across components, but those tried already.
+    # Sets in lists where several components are left meet across components by the exact prefixes of their full sets.
     named = listed.join(label, "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("id").alias("first")).where("least <> most")
-    rest = cut(named.join(mixed.select("v", "first"), "v"))
-    x, y = rest.toDF("v", "a", "ca", "first"), rest.toDF("v", "b", "cb", "first_")
-    across = x.join(y, "v").where("a < b AND ca <> cb AND a <> first").select("a", "b").distinct()
-    more = _verified(across, docs, reps, id_col, text_col, width, k, percent)
+    mixed = named.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
+    rest = cut(named.join(mixed.select("v"), "v").select("id", "c").distinct())
+    sized = whole.join(rest, "id", "left_semi").select("id", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("sketch"))
+    exact = cut(_prefixes(sized, F.floor((F.col("n") * percent + 99) / 100).cast("int")).join(rest, "id").select("v", "id", "c", "n", "at"))
+    x, y = exact.toDF("v", "a", "ca", "na", "i"), exact.toDF("v", "b", "cb", "nb", "j")
+    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))  # what two sets of these sizes need
+    possible = (F.col("na") - F.col("i") >= overlap) & (F.col("nb") - F.col("j") >= overlap) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    across = x.join(y, "v").where("a < b AND ca <> cb").where(possible).select("a", "b").distinct()
+    more = _verified(across, reps, whole, k, percent)
 
     copies = usable.join(sets.select("p1", "p2", "rep"), ["p1", "p2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     final = components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more).union(copies))
