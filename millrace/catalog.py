@@ -192,9 +192,9 @@ def script_if_chain(df):
     return df.select("p_partkey", F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").otherwise("large").alias("class"), (F.col("p_size") * 2 + 1).alias("twice"))
 
 
-@_query("lineitem", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 3) AS net, l_tax > 0.04 AS taxed FROM lineitem")
+@_query("lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_tax > 0.04 AS taxed FROM lineitem")
 def script_map_result(df):
-    return df.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 3).alias("net"), (F.col("l_tax") > 0.04).alias("taxed"))
+    return df.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), (F.col("l_tax") > 0.04).alias("taxed"))
 
 
 @_query("events", "SELECT event_id, count(*) OVER w AS count, string_agg(event_type, ',') OVER w AS accumulated FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
