@@ -127,11 +127,15 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
         held, size = [], 0
 
         def out():
-            key, u, v, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            _, u, v, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             where = _part(u, parts)
-            for at in range(0, len(u), 1 << 18):
-                s = slice(at, at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(where[s]), pa.array(_signed(u)[s]), pa.array(_signed(v)[s]), pa.array(n[s].astype(np.int32))], names=["part", "u", "v", "n"])
+            order = np.lexsort((u, where))
+            u, v, n, where = u[order], v[order], n[order], where[order]
+            edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # each context once, then its pairs
+                first = np.flatnonzero(np.r_[True, u[a + 1 : b] != u[a : b - 1]])
+                cols = (u[a:b][first], np.diff(np.r_[first, b - a]).astype(np.uint32), v[a:b], n[a:b].astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array(where[a : a + 1]), *[pa.array([c.tobytes()], pa.binary()) for c in cols]], names=["part", "u", "runs", "v", "n"])
 
         for batch in batches:
             for _, _, data, offsets in bytescan.text_blocks(batch.column(0)):
@@ -147,13 +151,12 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
     def merge(batches):
         by: dict[int, list] = {}
         for batch in batches:
-            p, u, v, n = (np.asarray(c) for c in batch.columns)
-            for k in np.unique(p).tolist():
-                m = p == k
-                by.setdefault(k, []).append((u[m].view(np.uint64), v[m].view(np.uint64), n[m].astype(np.int64)))
+            for k, u, runs, v, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                contexts = np.repeat(np.frombuffer(u, np.uint64), np.frombuffer(runs, np.uint32))
+                by.setdefault(k, []).append((contexts, np.frombuffer(v, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64)))
         for k in sorted(by):
             key, u, v, n = _summed(*(np.concatenate(x) for x in zip(*by.pop(k), strict=True)))
-            _save(folder, f"pair-{k}", key=key, n=n.astype(np.uint32))
+            _save(folder, f"pair-{k}", key=key, n=n.astype(np.min_scalar_type(int(n.max()))))
             some = [int((n == i).sum()) for i in (1, 2, 3, 4)]
             for what, word in ((0, u), (1, v)):  # contexts are whole here; next words are summed over parts later
                 order = np.argsort(word)
@@ -168,7 +171,7 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 7 + [pa.array([x], pa.int64()) for x in some], names=names)
 
     names = ["h", "c", "kinds", "total", "one", "two", "more", "n1", "n2", "n3", "n4"]
-    pairs = texts.mapInArrow(count, "part int, u long, v long, n int").repartition(parts, "part")
+    pairs = texts.mapInArrow(count, "part int, u binary, runs binary, v binary, n binary").repartition(parts, "part")
     rows = cut(pairs.mapInArrow(merge, ", ".join(f"{x} long" for x in names)))
     high = rows.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in names[-4:]]).first()
     words = rows.where("h IS NOT NULL").groupBy("h").agg(*[F.sum(x).alias(x) for x in names[1:7]])
