@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import bytescan
-from millrace.llm.workspace import cut, fresh, new_folder, quoted
+from millrace.llm.workspace import fresh, new_folder, quoted, table
 
 BOS = np.uint64(0x1B873593CC9E2D51)
 EOS = np.uint64(0x85EBCA6BC2B2AE35)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
                 token, before, _ = _tokens(data, offsets)
                 held.append(_summed(before, token, np.ones(len(token), np.int64))[1:])
                 size += len(held[-1][0])
-                if size > 3 << 20:
+                if size > 2 << 20:
                     yield from out()
                     held, size = [], 0
         if held:
@@ -172,7 +172,7 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
 
     names = ["h", "c", "kinds", "total", "one", "two", "more", "n1", "n2", "n3", "n4"]
     pairs = texts.mapInArrow(count, "part int, u binary, runs binary, v binary, n binary").repartition(parts, "part")
-    rows = cut(pairs.mapInArrow(merge, ", ".join(f"{x} long" for x in names)))
+    rows = table(pairs.mapInArrow(merge, ", ".join(f"{x} long" for x in names)), "word-counts")
     high = rows.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in names[-4:]]).first()
     words = rows.where("h IS NOT NULL").groupBy("h").agg(*[F.sum(x).alias(x) for x in names[1:7]])
     stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("kinds"), F.lit(0)), *[F.count_if(F.col("kinds") == i) for i in (1, 2, 3, 4)], F.count_if(F.col("kinds") > 2)).first()
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     def run(batches):
         for batch in batches:
             sums = [[], [], [], []]
-            for _, _, data, offsets in bytescan.text_blocks(batch.column(len(keep)), 4 << 20):
+            for _, _, data, offsets in bytescan.text_blocks(batch.column(len(keep)), 2 << 20):
                 token, before, starts = _tokens(data, offsets)
                 parts = [block(token[a : a + _CHUNK], before[a : a + _CHUNK]) for a in range(0, len(token), _CHUNK)]
                 known, base, own = (np.concatenate(x) for x in zip(*parts, strict=True))

@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def table(df: DataFrame, what: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: compact where columns repeat values."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fresh(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names, each with as many underscores in front as it takes to clash with no column (case ignored)."""
     taken = {c.lower() for c in columns}
