@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 from millrace.llm.workspace import quoted
 
 SPACE = "▁"
-_CHARS = 1 << 20
-_MOST_CUTS = 800_000
-_MOST_PAIRS = 4_000_000
+_CHARS = 1 << 18
+_MOST_CUTS = 400_000
+_MOST_PAIRS = 1_500_000
 
 
 def _fields(data: bytes):
@@ -347,8 +347,8 @@ def _mapped(docs: DataFrame, source: str, name: str, kind: T.DataType, make, kin
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], make(part.column(len(keep)))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
