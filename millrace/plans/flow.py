@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from millrace.operators import rows
 
@@ -70,7 +71,7 @@ class Flow:
                 for a, b, label in self.edges:
                     if b == n:
                         labels = [x for s, _, x in self.edges if s == a and x]
-                        parts.append(rows.branch(out[a], labels)[label].drop("_decision") if label else out[a].drop("_decision"))
+                        parts.append(self._taken(out[a], a, label, labels).drop("_decision") if label else out[a].drop("_decision"))
                 if not parts:
                     raise FlowError([f"{n} has neither a source nor an edge"])
                 got = rows.converge(parts)
@@ -78,6 +79,13 @@ class Flow:
                 out[n] = rows.decide(done, self.guards[n]) if n in self.guards else done
         return {k: v.drop("_decision") for k, v in out.items()}
 
+    def _taken(self, df: DataFrame, src: str, label: str, labels: list[str]) -> DataFrame:
+        """The rows for a labelled edge; a boolean guard is the filter itself, so that scans can take it."""
+        guard = self.guards.get(src)
+        if guard is not None and label in ("yes", "no") and df.select(guard).dtypes[0][1] == "boolean":
+            return df.where(guard if label == "yes" else ~F.coalesce(guard, F.lit(False)))
+        return rows.branch(df, labels)[label]
+
     def as_step(self, entry: str, exit_: str) -> Step:
         """The flow as a node of another flow."""
         return lambda df: self.plan(**{entry: df})[exit_]
