@@ -75,7 +75,9 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     rows = pages.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(url_col)).cast("string"), F.lit("")).alias("url"), body.alias("payload"))
     total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     n = max(1, total // file_bytes + 1, min(rows.rdd.getNumPartitions(), total >> 20))
-    joined = rows.join(revisits, (F.col("id") == F.col("i")) & (F.sha1(F.col("payload").cast("binary")) == F.col("s")), "left").select("id", "url", "payload", "refers_to")
+    # One shuffle of the payloads: the join's partitions become the files.
+    keyed = rows.withColumn("sha", F.sha1(F.col("payload").cast("binary"))).withColumn("key", F.coalesce("id", F.xxhash64("url", "sha")))
+    dealt = keyed.repartition(int(n), "key", "sha").join(revisits, (F.col("key") == F.col("i")) & (F.col("sha") == F.col("s")) & F.col("id").isNotNull(), "left").select("id", "url", "payload", "refers_to")
 
     def put(batches):
         files, base = fs.FileSystem.from_uri(folder)
@@ -94,7 +96,6 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
         files.move(trial, path)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
-    dealt = joined.repartition(int(n), F.coalesce("id", F.xxhash64("payload")))
     done = dealt.mapInArrow(put, "path string, records long, bytes long")
     scheme = folder.split("://")[0] + "://" if "://" in folder and not folder.startswith("file:") else "file://"
     return cut(done.select(F.concat(F.lit(scheme), "path").alias("path"), "records", "bytes"))
@@ -135,10 +136,11 @@ def salvage(data: bytes):
             z, reason = zlib.decompressobj(31), "no member"
             if data.startswith(_MEMBER, at):
                 try:
-                    raw, end = b"", at
+                    parts, end = [], at
                     while not z.eof and end < len(data):
-                        raw += z.decompress(data[end : end + _MOST_HEADER])
+                        parts.append(z.decompress(data[end : end + _MOST_HEADER]))
                         end += _MOST_HEADER
+                    raw = b"".join(parts)
                     parsed = _parse(raw) if z.eof else None
                     reason = "member is cut off" if not z.eof else "record in member fails its checks"
                     if parsed and parsed[2] == len(raw):
