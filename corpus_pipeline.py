@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ids, their number, and whether they decode to the text."""
     model = pieces.read_model(PIECE_MODEL)
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.round_trip(docs, model)
     return both.withColumns({"n_ids": F.size("ids").cast("long"), "round_trip": F.coalesce(F.col("decoded") == F.col("text"), F.lit(False))}).drop("decoded")
 
 

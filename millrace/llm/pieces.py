@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ from millrace.llm.workspace import quoted
 
 SPACE = "▁"
 _CHARS = 1 << 18
+_BLOCK = 1 << 20
 _MOST_CUTS = 400_000
 _MOST_PAIRS = 1_500_000
 
@@ -323,10 +325,15 @@ class Vocabulary:
         out = [b"".join(map(get, s)) for s in split]
         return out, [len(x) >> 2 for x in out]
 
-    def decode(self, ids: list[int]) -> str:
-        n, raw = len(self.raw), self.raw
-        text = b"".join([raw[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The text of each run of ids between two offsets."""
+        raw = [*self.raw, b""]  # the last one stands for ids outside the vocabulary
+        ids = np.where((ids >= 0) & (ids < len(self.raw)), ids, len(self.raw))
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            text = b"".join(map(raw.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace").replace(SPACE, " ")
+            out.append(text[1:] if text.startswith(" ") else text)
+        return out
 
 
 @cache
@@ -340,37 +347,65 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _mapped(docs: DataFrame, source: str, name: str, kind: T.DataType, make, kind_of_source: str, keep: list[str] | None) -> DataFrame:
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != name.lower()]
+def _blocks(column: pa.Array):
+    """(first row, rows) of runs of about ``_BLOCK`` bytes or ids; a longer value is a run by itself."""
+    sizes = pc.list_value_length(column) if pa.types.is_nested(column.type) else pc.binary_length(column)
+    upto = np.cumsum(np.asarray(pc.fill_null(sizes, 0)), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + _BLOCK, "right")))
+        yield at, end - at
+        at = end
+
+
+def _ids(column: pa.Array, model: bytes) -> pa.Array:
+    parts, sizes = _vocabulary(model).encode(column.to_pylist())
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+def _texts(column: pa.Array, model: bytes) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)))]).astype(np.int64)
+    ids = np.asarray(pc.fill_null(column.flatten(), -1))  # null lists hold nothing here
+    return pa.array(_vocabulary(model).decode(ids, offsets), pa.string())
+
+
+_IDS, _TEXT = T.ArrayType(T.IntegerType()), T.StringType()
+
+
+def _mapped(docs: DataFrame, source: str, kind_of_source: str, made: dict[str, T.DataType], make, keep: list[str] | None) -> DataFrame:
+    """The kept columns of docs and those that make gives for a block of its source column."""
+    taken = {name.lower() for name in made}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
     rows = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(source)).cast(kind_of_source).alias("__source"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(name, kind)])
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(name, kind) for name, kind in made.items())])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], make(part.column(len(keep)))], names=schema.names)
+            for at, n in _blocks(batch.column(len(keep))):
+                part = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column(len(keep)))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (default all) and the ids of its text, array<int>."""
-
-    def make(column):
-        parts, sizes = _vocabulary(model).encode(column.to_pylist())
-        offsets = np.zeros(len(sizes) + 1, np.int32)
-        np.cumsum(sizes, out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-
-    return _mapped(docs, text_col, out, T.ArrayType(T.IntegerType()), make, "string", keep)
+    return _mapped(docs, text_col, "string", {out: _IDS}, lambda column: [_ids(column, model)], keep)
 
 
 def decode(docs: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (default all) and the text of its ids."""
+    return _mapped(docs, ids_col, "array<int>", {out: _TEXT}, lambda column: [_texts(column, model)], keep)
+
+
+def round_trip(docs: DataFrame, model: bytes, text_col: str = "text", out: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """encode, then decode of its ids, in one pass: the ids go through one Python worker, not two."""
 
     def make(column):
-        v = _vocabulary(model)
-        return pa.array([v.decode(x or []) for x in column.to_pylist()], pa.string())
+        ids = _ids(column, model)
+        return [ids, _texts(ids, model)]
 
-    return _mapped(docs, ids_col, out, T.StringType(), make, "array<int>", keep)
+    return _mapped(docs, text_col, "string", {out: _IDS, decoded: _TEXT}, make, keep)

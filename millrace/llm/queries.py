@@ -24,8 +24,7 @@ def _held_out(folds: int):
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its ids, their number and digest, and the digest of the text that they decode to."""
     model = pieces.read_model(PIECE_MODEL)
-    ids = pieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), model, keep=["doc_id"])
-    both = pieces.decode(ids, model)
+    both = pieces.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), model, keep=["doc_id"])
     return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import kneserney, langid, licenses, linededup, media, mixing, neardup, pieces, quality, warc
 
@@ -116,7 +117,13 @@ def test_pieces(docs, empty):
     out = pieces.decode(pieces.encode(docs, model), model)
     for r in out.collect():
         assert r.ids == sp.encode(r.text or "") and r.decoded == (r.text or "")
-    assert pieces.encode(empty, model).count() == 0
+    fused = pieces.round_trip(docs.withColumn("Decoded", F.lit(1)), model, keep=["doc_id", "Decoded"])
+    assert fused.columns == ["doc_id", "ids", "decoded"]
+    key = lambda r: (r.doc_id, r.ids, r.decoded)
+    assert sorted(map(key, fused.collect())) == sorted(map(key, out.collect()))
+    assert pieces.encode(empty, model).count() == 0 and pieces.round_trip(empty, model).count() == 0
+    lists = docs.sparkSession.createDataFrame([(0, None), (1, []), (2, [None, -1, 10**6, 1, 2]), (3, sp.encode("a ▁ b")), (4, [sp.piece_to_id("<0xE2>")])], "n int, ids array<int>")
+    assert [r.decoded for r in pieces.decode(lists, model).orderBy("n").collect()] == ["", "", "", "a   b", "\ufffd"]
     r = random.Random(3)
     v = pieces.Vocabulary(model)
     odd = ["▁▁a", " " * 50 + "x", "a" * 5000, *("".join(r.choice("abetx ▁é\n🤷日\0") for _ in range(r.randint(1, 60))) for _ in range(500))]
