@@ -9,7 +9,10 @@ the centroid with the largest cosine.
 
 Results. A text that is null, empty or without any letter: ``und``, score 0, rejected. Otherwise a
 learned language; score is the cosine, cut to 0..1; rejected (distance 1 - cosine too large) if it
-is below ``reject_below``. Ties go to the smaller language name. Rows with a null label or text are
+is below ``reject_below`` or below the language's own limit for texts of that length. The limits are fitted:
+each half of a language's sample is scored, whole and in slices of 8, 16, .. 4096 bytes, against centroids
+of the other half; a limit is ``_SLACK`` times the ``_LOW`` quantile. Slices stand for short texts, which
+score low however clean they are. A language with fewer than ``_FEW`` sampled rows has no limits. Ties go to the smaller language name. Rows with a null label or text are
 not learned from; with nothing to learn from, everything is ``und`` and rejected. Very long texts
 are counted slice by slice. An input column named like a result is replaced.
 """
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +35,8 @@ DIMS = 4096
 _LETTER = np.arange(256, dtype=np.uint32)
 _LETTER[:128] = 32
 _LETTER[97:123] = np.arange(97, 123)
+_SHORTEST, _LONGEST = 3, 12  #: powers of two: text lengths that have limits of their own
+_LOW, _SLACK, _FEW = 0.02, 0.8, 20
 
 
 @dataclass
@@ -38,6 +44,7 @@ class Model:
     languages: list[str]  #: of each centroid
     idf: np.ndarray
     centroids: np.ndarray
+    limits: np.ndarray  #: least cosine, by centroid and power of two of the text's bytes
 
 
 def _grams(b: np.ndarray, skip: int) -> np.ndarray:
@@ -93,6 +100,31 @@ def _cluster(v: np.ndarray, k: int) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def _power(n_bytes) -> np.ndarray:
+    """Which of the limits holds for texts of so many bytes."""
+    return np.clip(np.log2(np.maximum(n_bytes, 1)).astype(np.int64), _SHORTEST, _LONGEST) - _SHORTEST
+
+
+def _limits(v: np.ndarray, n_bytes: np.ndarray, heads: list[bytes], idf: np.ndarray, k: int) -> np.ndarray:
+    """The limits of one language: low quantiles of the cosines that each half has to the other's centroids."""
+    out = np.zeros(_LONGEST - _SHORTEST + 1, np.float32)
+    if len(v) < _FEW:
+        return out
+    found: list[list] = [[] for _ in out]
+    for half in (0, 1):
+        c = _cluster(v[1 - half :: 2], k)
+        for p, cos in zip(_power(n_bytes[half::2]).tolist(), (v[half::2] @ c.T).max(axis=1).tolist(), strict=True):
+            found[p].append(cos)
+        for p, cosines in enumerate(found):
+            n = 1 << (p + _SHORTEST)
+            slices = [h[at : at + n] for h in heads[half::2] for at in {0, h.rfind(b" ", 0, max(0, len(h) - n)) + 1} if len(h) >= at + n]
+            for _, counts in _counts(pa.array(slices, pa.binary())):
+                cosines += (_unit(counts, idf) @ c.T).max(axis=1).tolist()
+    for p, cosines in enumerate(found):
+        out[p] = _SLACK * np.quantile(cosines, _LOW) if len(cosines) >= _FEW else out[p - 1] if p else 0
+    return np.maximum.accumulate(out)
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 400, clusters: int = 3) -> Model:
     """Learns from all rows of docs that have a text and a label."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"), F.col(label_col).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
@@ -109,7 +141,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     df = dict(rows.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect())
     n = df.get(-1, 0)
     if not n:
-        return Model([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32))
+        return Model([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros((0, 1), np.float32))
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))).astype(np.float32)
 
     order = Window.partitionBy("label").orderBy("h", "id")
@@ -119,17 +151,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         for batch in batches:
             for i, counts in _counts(batch.column(2)):
                 rows = batch.slice(i, len(counts))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), bytescan.lists(list(_unit(counts, idf)), pa.float32())], names=["label", "nth", "v"])
+                sizes, heads = pc.binary_length(rows.column(2)).cast(pa.int64()), pc.binary_slice(rows.column(2).cast(pa.binary()), 0, 2 << _LONGEST)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), bytescan.lists(list(_unit(counts, idf)), pa.float32()), sizes, heads], names=["label", "nth", "v", "n_bytes", "head"])
 
     def centroids(table):
         t = table.sort_by("nth")
         v = np.array(t.column("v").combine_chunks().flatten()).reshape(-1, DIMS)
-        c = _cluster(v[(v != 0).any(axis=1)] if v.any() else v, clusters)
-        return pa.table({"label": pa.array([t.column("label")[0].as_py()] * len(c), pa.string()), "c": bytescan.lists(list(c), pa.float32())})
+        some = (v != 0).any(axis=1) | ~v.any()
+        c = _cluster(v[some], clusters)
+        limits = _limits(v[some], np.array(t.column("n_bytes"))[some], t.column("head").filter(pa.array(some)).to_pylist(), idf, clusters)
+        return pa.table({"label": pa.array([t.column("label")[0].as_py()] * len(c), pa.string()), "c": bytescan.lists(list(c), pa.float32()), "limits": bytescan.lists([limits] * len(c), pa.float32())})
 
-    found = cut(sample.select("label", "nth", "text")).mapInArrow(vectors, "label string, nth int, v array<float>").groupBy("label").applyInArrow(centroids, "label string, c array<float>").collect()
+    found = cut(sample.select("label", "nth", "text")).mapInArrow(vectors, "label string, nth int, v array<float>, n_bytes long, head binary").groupBy("label").applyInArrow(centroids, "label string, c array<float>, limits array<float>").collect()
     found.sort(key=lambda r: r.label)
-    return Model([r.label for r in found], idf, np.array([r.c for r in found], np.float32).reshape(-1, DIMS))
+    return Model([r.label for r in found], idf, np.array([r.c for r in found], np.float32).reshape(-1, DIMS), np.array([r.limits for r in found], np.float32))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, reject_below: float = 0.02) -> DataFrame:
@@ -143,15 +178,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            best, name = np.zeros(n), np.zeros(n, np.int64)
+            best, name, least = np.zeros(n), np.zeros(n, np.int64), np.full(n, float(reject_below))
             if model.languages:
                 for i, counts in _counts(batch.column(len(keep))):
                     cos = _unit(counts, model.idf) @ model.centroids.T
                     name[i : i + len(cos)] = np.argmax(cos, axis=1)
                     best[i : i + len(cos)] = np.clip(cos.max(axis=1), 0, 1)
+                power = _power(np.asarray(pc.fill_null(pc.binary_length(batch.column(len(keep))), 0)))
+                least = np.maximum(least, model.limits[name, power])
             has = np.array(batch.column(len(keep) + 1)) & bool(model.languages)
             best = np.where(has, best, 0.0)
             said = [model.languages[k] if ok else "und" for k, ok in zip(name.tolist(), has.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(said, pa.string()), pa.array(best), pa.array(best < reject_below)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(said, pa.string()), pa.array(best), pa.array(best < least)], names=schema.names)
 
     return source.mapInArrow(run, schema)

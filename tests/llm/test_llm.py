@@ -180,6 +180,28 @@ def test_language_id(spark, docs, empty):
     assert got == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und", 6: "en"}
 
 
+def test_language_id_rejects_what_it_did_not_learn(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where("doc_id % 5 <> 0"))
+    r = random.Random(5)
+    unlearned = {
+        1: "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью. " * 3,
+        2: "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待" * 4,
+        3: "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。" * 4,
+        4: "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler. " * 3,
+        5: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki. " * 3,
+        6: " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(60)),
+        7: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600)),
+    }
+    asked = spark.createDataFrame(list(unlearned.items()), "doc_id long, text string")
+    assert {x.doc_id for x in langid.identify(asked, model).collect() if not x.rejected} == set()
+    held = langid.identify(docs.where("doc_id % 5 = 0 AND length(text) > 0"), model).collect()
+    assert sum(x.rejected for x in held) <= len(held) // 50
+    short = [(i, x.text[:n]) for n in (12, 25, 50) for i, x in enumerate(held)]
+    got = langid.identify(spark.createDataFrame(short, "doc_id long, text string"), model).collect()
+    assert sum(x.rejected for x in got) <= len(got) // 30
+
+
 def test_licenses(spark):
     f = spark.createDataFrame(
         [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/y.py", "x\nLicensed under CC BY-NC 4.0.\n"), (4, "z.py", None), (5, None, ""), (6, "q/COPYING", "the text of the thing")], "id long, path string, text string"
