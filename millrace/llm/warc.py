@@ -4,8 +4,8 @@
 files of about ``file_bytes``, and writes each file under a temporary name before it is moved into place, so
 that a task that is run again replaces its own file. Files go to the shared folder through pyarrow's
 file systems. ``read`` opens each file in a task and salvages: where a member's checks fail (gzip CRC, version line,
-header, length, end mark, block digest), it searches for the next member or version line that passes,
-recovers what follows, and reports the bytes between as a gap.
+header, length, end mark, block digest), it searches for the next member or version line that passes, whichever
+is nearer, recovers what follows, and reports the bytes between as a gap. A member may hold several records.
 
 Results. A null payload is empty. Of pages with equal payloads of at least ``least_bytes`` the largest id is the
 response, the others revisit it. Rows that repeat that id are responses too; a null id is written without
@@ -29,7 +29,7 @@ from millrace.llm.workspace import cut, new_folder, quoted
 
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_MOST_HEADER = 1 << 16
+_CHUNK = 1 << 16
 _RECORD = "offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -101,82 +101,98 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     return cut(done.select(F.concat(F.lit(scheme), "path").alias("path"), "records", "bytes"))
 
 
-def _parse(data: bytes) -> tuple[dict, bytes, int] | None:
-    """Headers, block and length of the record that data starts with, if its checks pass."""
-    if not _VERSION.match(data):
+def _parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int] | None:
+    """Headers, block and length of the record that starts there, if its checks pass."""
+    start = _VERSION.match(data, at)
+    if not start:
         return None
-    end = data.find(b"\r\n\r\n", 0, _MOST_HEADER)
-    if end < 0:
-        return None
-    head = {}
-    for line in data[:end].split(b"\r\n")[1:]:
-        key, colon, value = line.partition(b":")
+    head, line = {}, start.end()
+    while not data.startswith(b"\r\n", line):  # a damaged header ends at its first bad line, however far the next blank one is
+        stop = data.find(b"\r\n", line)
+        key, colon, value = data[line : max(stop, line)].partition(b":")
         if not colon:
             return None
         head[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not head.get("content-length", "").isdigit() or "warc-type" not in head:
+        line = stop + 2
+    if not re.fullmatch("[0-9]{1,18}", head.get("content-length", "")) or "warc-type" not in head:
         return None
-    n = int(head["content-length"])
-    block = data[end + 4 : end + 4 + n]
-    if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+    n, line = int(head["content-length"]), line + 2
+    if data[line + n : line + n + 4] != b"\r\n\r\n":
         return None
+    block = data[line : line + n]
     said = head.get("warc-block-digest", "")
     if said.startswith("sha1:") and said[5:] != _digest(block):
         return None
-    return head, block, end + 8 + n
+    return head, block, line + n + 4 - at
+
+
+def _unpack(data: bytes, at: int) -> tuple[list[tuple], list[tuple], int, str]:
+    """Records and bad spans inside the gzip member there, its length (0 if its own checks fail), and what is wrong."""
+    z, parts, end = zlib.decompressobj(31), [], at
+    try:
+        while not z.eof and end < len(data):
+            parts.append(z.decompress(data[end : end + _CHUNK]))
+            end += _CHUNK
+    except zlib.error as e:
+        return [], [], 0, f"member: {e}"
+    if not z.eof:
+        return [], [], 0, "member is cut off"
+    raw = b"".join(parts)
+    found, bad, i = [], [], 0
+    while i < len(raw):
+        got = _parse(raw, i)
+        if got:
+            found.append(got[:2])
+            i += got[2]
+            continue
+        j = i
+        while (m := _VERSION.search(raw, j + 1)) and not _parse(raw, m.start()):
+            j = m.start()
+        bad.append((i, m.start() if m else len(raw)))
+        i = bad[-1][1]
+    return found, bad, min(end, len(data)) - at - len(z.unused_data), "record in member fails its checks"
 
 
 def salvage(data: bytes):
-    """Yields ("record", offset, headers, block) and ("gap", offset, length, reason) over a whole archive."""
+    """Yields ("record", offset, headers, block) and ("gap", offset, length, reason) over a whole archive.
+
+    Members and plain records may be mixed. The offset of a record in a member is the member's; a member
+    that holds bad bytes beside valid records is also a gap, one that holds none is part of the gap around it.
+    """
     at, bad, why = 0, None, ""
-    packed = data[:3] == _MEMBER or _VERSION.match(data) is None
+    member, line = -1, -1  # the next places of either kind, searched for once they are passed
     while at < len(data):
-        found = None
-        if packed:
-            z, reason = zlib.decompressobj(31), "no member"
-            if data.startswith(_MEMBER, at):
-                try:
-                    parts, end = [], at
-                    while not z.eof and end < len(data):
-                        parts.append(z.decompress(data[end : end + _MOST_HEADER]))
-                        end += _MOST_HEADER
-                    raw = b"".join(parts)
-                    parsed = _parse(raw) if z.eof else None
-                    reason = "member is cut off" if not z.eof else "record in member fails its checks"
-                    if parsed and parsed[2] == len(raw):
-                        found, step = parsed, min(end, len(data)) - at - len(z.unused_data)
-                except zlib.error as e:
-                    reason = f"member: {e}"
-        else:
-            reason, found = "record fails its checks", _parse(_window(data, at))
-            step = found[2] if found else 0
+        found, step, reason, hurt = [], 0, "no member", False
+        if data.startswith(_MEMBER, at):
+            found, spans, step, reason = _unpack(data, at)
+            hurt = bool(spans)
+        elif _VERSION.match(data, at):
+            reason, got = "record fails its checks", _parse(data, at)
+            if got:
+                found, step = [got[:2]], got[2]
         if found:
             if bad is not None:
                 yield "gap", bad, at - bad, why
                 bad = None
-            yield "record", at, found[0], found[1]
+            for head, block in found:
+                yield "record", at, head, block
+            if hurt:
+                yield "gap", at, step, reason
             at += step
             continue
         if bad is None:
             bad, why = at, reason
-        if packed:
-            at = data.find(_MEMBER, at + 1)
-        else:
+        if member <= at:
+            member = data.find(_MEMBER, at + 1)
+            member = len(data) if member < 0 else member
+        if line <= at:
             m = _VERSION.search(data, at + 1)
-            at = m.start() if m else -1
-        if at < 0:
-            break
+            line = m.start() if m else len(data)
+        at = min(member, line)
     if bad is not None:
         yield "gap", bad, len(data) - bad, why
 
 
-def _window(data: bytes, at: int) -> bytes:
-    """The bytes of the record at that place, as far as its header says."""
-    end = data.find(b"\r\n\r\n", at, at + _MOST_HEADER)
-    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[at : max(end, at)])
-    return data[at : end + 8 + int(m[1])] if end >= 0 and m else data[at : at + _MOST_HEADER]
-
-
 def _number(uri: str) -> int | None:
     m = re.fullmatch(r"<urn:page:(-?\d+)>", uri)
     return int(m[1]) if m else None

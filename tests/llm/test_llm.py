@@ -161,6 +161,27 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_salvages_mixed_archives(spark, tmp_path):
+    made = [warc.record(i, "u", bytes([65 + i]) * 500, None) for i in range(5)]
+    plain = [zlib.decompress(x, 31) for x in made]
+    found = lambda parts: [warc._number(p[2]["warc-record-id"]) for p in parts if p[0] == "record"]
+    gaps = lambda parts: [p[1:3] for p in parts if p[0] == "gap"]
+    parts = list(warc.salvage(b"XARC" + plain[0][4:] + plain[1] + plain[2]))
+    assert found(parts) == [1, 2] and gaps(parts) == [(0, len(plain[0]))]
+    parts = list(warc.salvage(made[0] + made[1][:-20] + plain[2] + made[3] + plain[4]))
+    assert found(parts) == [0, 2, 3, 4] and gaps(parts) == [(len(made[0]), len(made[1]) - 20)]
+    pack = lambda x: (z := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(x) + z.flush()
+    several = pack(plain[0] + plain[1][:-9] + plain[2])
+    parts = list(warc.salvage(several + made[3]))
+    assert found(parts) == [0, 2, 3] and gaps(parts) == [(0, len(several))]
+    assert found(warc.salvage(pack(b"".join(plain)))) == [0, 1, 2, 3, 4]
+    url = "http://x/" + "a" * 100_000
+    pages = spark.createDataFrame([(1, url, "page")], "page_id long, url string, html string")
+    records, lost = warc.read(warc.write(pages, folder=f"file://{tmp_path}/w"))
+    assert [(r.page_id, r.url, bytes(r.payload)) for r in records.collect()] == [(1, url, b"page")] and lost.count() == 0
+    assert found(warc.salvage(zlib.decompress(warc.record(7, url, b"page", None), 31))) == [7]
+
+
 def test_language_model(docs, empty):
     model = kneserney.train(docs)
     assert model.tokens == sum(len(words(t)) + 1 for _, t, *_ in rows())
