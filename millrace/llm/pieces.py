@@ -184,9 +184,6 @@ class Vocabulary:
 
     def encode_cuts(self, cuts: list[str]) -> None:
         """Adds the ids of new distinct cuts to the table."""
-        if len(self.cuts) > _MOST_CUTS:  # frequent cuts came early: the later half goes
-            for c in list(self.cuts)[_MOST_CUTS // 2 :]:
-                del self.cuts[c]
         if len(self.pair_keys) > _MOST_PAIRS:
             self.pair_keys, self.pair_fit = np.zeros(0, np.int64), np.zeros(0, bool)
         block: list[str] = []
@@ -316,11 +313,13 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[int]]:
         """The ids of each text, as 32-bit numbers, and how many."""
         split = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {c for s in split for c in s}.difference(self.cuts)
-        if new:
+        asked = {c for s in split for c in s}
+        if len(self.cuts) > _MOST_CUTS:  # frequent cuts came early: the later half goes, but for what is asked for now
+            for c in list(self.cuts)[_MOST_CUTS // 2 :]:
+                if c not in asked:
+                    del self.cuts[c]
+        if new := asked.difference(self.cuts):
             self.encode_cuts(sorted(new))
-            if missing := {c for s in split for c in s}.difference(self.cuts):  # some went to make room
-                self.encode_cuts(sorted(missing))
         get = self.cuts.__getitem__
         out = [b"".join(map(get, s)) for s in split]
         return out, [len(x) >> 2 for x in out]

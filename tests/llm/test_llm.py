@@ -132,6 +132,19 @@ def test_pieces(docs, empty):
     assert [np.frombuffer(x, np.int32).tolist() for x in v.encode(odd)[0]] == sp.encode(odd)
 
 
+def test_pieces_with_full_tables(monkeypatch):
+    import numpy as np
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "_MOST_CUTS", 8)
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    v = pieces.Vocabulary(pieces.read_model(MODEL))
+    first = " ".join(f"a{i}" for i in range(12))
+    for text in (first, "b1 " + " ".join(f"id{i}" for i in range(30)) + " a11 a1", first, ""):
+        assert [np.frombuffer(x, np.int32).tolist() for x in v.encode([text])[0]] == [sp.encode(text)]
+    assert len(v.cuts) <= 8 + 12
+
+
 def test_media(docs):
     out = media.features(media.store(docs)).collect()
     by = defaultdict(set)
