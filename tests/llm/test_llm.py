@@ -245,6 +245,24 @@ def test_licenses(spark):
     assert licenses.scan(f.limit(0)).count() == 0
 
 
+def test_licenses_in_wrapped_headers_and_whole_files(spark):
+    from pathlib import Path
+
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    isc = "// Permission to use, copy, modify, and distribute this software for any\n// purpose with or without fee is hereby granted, provided that"
+    line = "This project is released under the MIT License; see the LICENSE file in the root directory for the full text of it."
+    text = lambda name: (Path(licenses.__file__).parent / "licence_texts" / f"{name}.txt").read_text()
+    cases = [("a.py", gpl.format("", 3), "GPL-3.0"), ("b.py", gpl.format("", 2), "GPL-2.0"), ("c.py", gpl.format("Affero ", 3), "AGPL-3.0"), ("d.py", gpl.format("", 1), None)]
+    cases += [("e.c", bsd, "BSD-3-Clause"), ("f.c", isc, "ISC"), ("g.md", line, "MIT"), ("h.md", "MIT License\n\nCopyright (c) 2020 A", "MIT")]
+    cases += [("i", "Released under the BSD License.", None), ("j", "Released under the XYZ License.", None), ("k", "Licensed under CC BY-ND 4.0", None), ("l", "Licensed under CC BY-NC-SA 4.0", None)]
+    cases += [(f"{name}/LICENSE", text(name), name) for name in ("Apache-2.0", "BSD-3-Clause", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")] + [("m/COPYING", licenses._MIT, "MIT")]
+    cases += [("n", "The MIT press printed the licence for the house. " * 9, None), ("n", line, "MIT"), ("n", line, "MIT")]
+    f = spark.createDataFrame([(i, "top/" + p, t) for i, (p, t, _) in enumerate(cases)], "id long, path string, text string").repartition(3)
+    got = {r.id: r.own_license for r in licenses.scan(f).collect()}
+    assert got == {i: name for i, (_, _, name) in enumerate(cases)}
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
