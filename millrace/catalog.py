@@ -101,6 +101,13 @@ def split_vec(df):
     return rows.split_array(df.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", 2)
 
 
+@_query("embeddings", "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS item_{i}" for i in range(64)) + " FROM embeddings")
+def split_vec_all(df):
+    """Every element: as many columns as the longest array has."""
+    n = df.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return rows.split_array(df.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", n)
+
+
 @_query("lineitem", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 25 AND l_discount < 0.05")
 def gate_filter(df):
     return rows.gate(df, (F.col("l_quantity") > 25) & (F.col("l_discount") < 0.05)).select("l_orderkey", "l_linenumber", "l_quantity")

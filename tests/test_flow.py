@@ -40,6 +40,12 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == want
 
 
+def test_split_of_every_element(spark):
+    table = {r.vec_id: list(r.embedding) for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    got = {r.vec_id: list(r)[1:] for r in catalog.queries()["split_vec_all"](spark, DIR).collect()}
+    assert got == table and {len(v) for v in got.values()} == {64}
+
+
 def test_waves_and_cycles():
     f = Flow().node("a").node("b").node("c").node("d").edge("a", "b").edge("a", "c").edge("b", "d").edge("c", "d")
     assert f.waves() == [["a"], ["b", "c"], ["d"]]
