@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import kneserney, langid, licenses, linededup, media, mixing, neardup, pieces, quality, warc
+from millrace.llm import kneserney, langid, licenses, linededup, media, mixing, neardup, pieces, quality, queries, warc
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, score string"
@@ -68,6 +68,70 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def near_groups():
+    """Texts around the threshold: a base with few or many words changed, in lists that stay mixed after the star step."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for i in range(90):
+        t = list(base)
+        for at in r.sample(range(120), r.choice([1, 2, 3, 4, 5, 6])):
+            t[at] = f"x{r.randrange(8)}"
+        out.append((1000 + i, " ".join(t[: r.choice([120, 118, 110])])))
+    long = [f"v{i}" for i in range(900)]
+    for i in range(30):
+        t = list(long)
+        for at in r.sample(range(900), r.choice([5, 15, 20, 25, 30])):
+            t[at] = f"y{i}"
+        out.append((2000 + i, " ".join(t)))
+    return out
+
+
+def components_by_hand(texts, percent):
+    sets = {}
+    for i, t in texts:
+        w = words((t or "").translate(FOLD))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    held = defaultdict(set)
+    for i in sorted(sets):
+        near = Counter(j for s in sets[i] for j in held[s])
+        for j, n in near.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+        for s in sets[i]:
+            held[s].add(i)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_in_long_mixed_lists(spark, percent, monkeypatch):
+    monkeypatch.setattr(neardup, "_SHORT", 3)
+    monkeypatch.setattr(neardup, "_BLOCK", 16)
+    monkeypatch.setattr(neardup, "_WIDE", 128)
+    monkeypatch.setattr(neardup, "_HUB", 10)
+    rows_ = near_groups()
+    got = neardup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string").repartition(4), percent=percent).collect()
+    want = components_by_hand(rows_, percent)
+    assert 5 < len({c for _, c in want.values()}) < len(want) - 5
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_registered_near_dedup_equals_brute_force(spark):
+    """The query's own 85 % on whole documents; recall of links is 1."""
+    sf = "/root/testdata/sf0.01"
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = components_by_hand([(r.doc_id, r.text) for r in docs_], 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.queries()["op2_minhash_near_dedup"](spark, sf).collect()} == want
+
+
 def test_line_dedup(docs, empty):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(FOLD)
     held = defaultdict(set)
