@@ -7,12 +7,14 @@ firsts). A second pass lets only keys that the second filter holds (suspects) in
 128-bit cryptographic digests; counting their documents confirms the repeats exactly, whatever the filters
 let through, and the document with the largest id keeps the line. A third pass drops the others.
 
-The filters have a fixed bound, ``MOST_BITS`` each (32 MB), whatever the input; below it they follow
-the input's bytes. Beyond it more lines pass as suspects, which costs shuffle and changes no result.
+The filters follow the input's bytes up to ``MOST_BITS`` each (32 MB, what a worker holds at once). Beyond about
+4 GB of lines more of them pass as suspects: at worst each line's digest and id (24 bytes) are shuffled once.
+That changes no result. A line that very many documents share is counted and confirmed in ``SALTS`` tasks.
 
 Results. A null or empty text is one empty line. Keys shorter than ``least_chars`` code points always
 stay. Rows that share an id are one document. A null id is one document that comes before all others.
 An empty table gives no rows; other columns pass through, and a clashing one gives way to the result.
+Very long texts count whole; of equal lines of a document all go or all stay.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ MOST_BITS = 1 << 28
 LEAST_BITS = 1 << 20
 _SLICE = 1 << 14
 _PROBES = 4
+SALTS = 16
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -131,10 +134,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = docs.schema[id_col].dataType
     pairs = docs.select(ident.alias("id"), text.alias("text")).mapInArrow(suspects, T.StructType([T.StructField("id", kind), T.StructField("key", T.BinaryType())]))
-    held = cut(pairs)
+    # A key's documents are dealt to SALTS tasks by their ids: counted there, then summed; the answer goes back to each.
+    held = cut(pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")))
     n_docs = F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))
-    repeated = held.groupBy("key").agg(n_docs.alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_docs)
-    lost = held.join(repeated, "key").where(F.col("id").isNull() | (F.col("id") < F.col("last"))).groupBy("id").agg(F.collect_set("key").alias("keys"))
+    counted = held.groupBy("key", "salt").agg(n_docs.alias("n"), F.max("id").alias("last"))
+    repeated = counted.groupBy("key").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.collect_list("salt").alias("salts")).where(F.col("n") >= least_docs)
+    lost = held.join(repeated.select("key", "last", F.explode("salts").alias("salt")), ["key", "salt"]).where(F.col("id").isNull() | (F.col("id") < F.col("last"))).groupBy("id").agg(F.collect_set("key").alias("keys"))
 
     gone, at = fresh(docs.columns, "__gone", "__at")
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
