@@ -6,7 +6,9 @@ with the high peaks one and two frames later. A fingerprint is (t, code): frame
 low bin * 2**16 + high bin * 2**4 + distance. Each text is transformed by itself from its start, in slices
 of frames, so equal texts have equal features and memory stays bounded by one medium.
 
-Results. A null text is empty; an empty payload is padded to one frame. Other columns pass through.
+Results. A null text is empty; an empty payload is padded to one frame. Of equally strong bins the lowest is the
+peak. Each row has its own result, repeated rows the same; a very long text is one medium, as a whole. An empty
+table gives no rows. Other columns pass through; one named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ import wave
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.workspace import quoted
+from millrace.llm.workspace import fresh, quoted
 
 FRAME = 576
 RATE = 8000
@@ -28,20 +31,24 @@ _HOP = FRAME // 2
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 _SPLIT = FRAME // 8
 _SLICE = 1024
+_BLOCK = 1 << 20
 
 
 def _extended(docs: DataFrame, added: list[T.StructField], source: str, make, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with columns that make(list of bytes) gives as Arrow arrays; the source column comes last."""
     names = {f.name.lower() for f in added}
     keep = [c for c in docs.columns if c.lower() not in names and c not in drop]
-    src = F.coalesce(F.col(quoted(source)).cast("binary"), F.lit(b""))
-    rows = docs.select(*[F.col(quoted(c)) for c in keep], src.alias("__source"))
+    (name,) = fresh(docs.columns, "__source")
+    rows = docs.select(*[F.col(quoted(c)) for c in keep], F.coalesce(F.col(quoted(source)).cast("binary"), F.lit(b"")).alias(name))
     schema = T.StructType([*rows.schema.fields[:-1], *added])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            upto = np.cumsum(np.asarray(pc.binary_length(batch.column(len(keep)))), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:  # about _BLOCK bytes at once; a longer medium is a block by itself
+                end = max(at + 1, int(np.searchsorted(upto, (int(upto[at - 1]) if at else 0) + _BLOCK, "right")))
+                part, at = batch.slice(at, end - at), end
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column(len(keep)).to_pylist())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.workspace import quoted
+from millrace.llm.workspace import fresh, quoted
 
 SPACE = "▁"
 _CHARS = 1 << 18
@@ -378,7 +378,8 @@ def _mapped(docs: DataFrame, source: str, kind_of_source: str, made: dict[str, T
     """The kept columns of docs and those that make gives for a block of its source column."""
     taken = {name.lower() for name in made}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
-    rows = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(source)).cast(kind_of_source).alias("__source"))
+    (name,) = fresh(docs.columns, "__source")
+    rows = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(source)).cast(kind_of_source).alias(name))
     schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(name, kind) for name, kind in made.items())])
 
     def run(batches):
