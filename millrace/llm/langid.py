@@ -14,7 +14,9 @@ each half of a language's sample is scored, whole and in slices of 8, 16, .. 409
 of the other half; a limit is ``_SLACK`` times the ``_LOW`` quantile. Slices stand for short texts, which
 score low however clean they are. A language with fewer than ``_FEW`` sampled rows has no limits. Ties go to the smaller language name. Rows with a null label or text are
 not learned from; with nothing to learn from, everything is ``und`` and rejected. Very long texts
-are counted slice by slice. An input column named like a result is replaced.
+are counted slice by slice. Rows that share id and label stand for one row of the sample (the smallest text);
+each counts for document frequencies, and each has its prediction. An empty table to identify gives no rows.
+An input column named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ _LETTER[:128] = 32
 _LETTER[97:123] = np.arange(97, 123)
 _SHORTEST, _LONGEST = 3, 12  #: powers of two: text lengths that have limits of their own
 _LOW, _SLACK, _FEW = 0.02, 0.8, 20
+_SALTS = 64
 
 
 @dataclass
@@ -127,7 +130,7 @@ def _limits(v: np.ndarray, n_bytes: np.ndarray, heads: list[bytes], idf: np.ndar
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 400, clusters: int = 3) -> Model:
     """Learns from all rows of docs that have a text and a label."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"), F.col(label_col).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
+    rows = docs.select(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).alias("id"), F.lower(F.col(quoted(text_col)).cast("string")).alias("text"), F.col(quoted(label_col)).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
 
     def frequencies(batches):
         df, n = np.zeros(DIMS, np.int64), 0
@@ -144,8 +147,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         return Model([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros((0, 1), np.float32))
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))).astype(np.float32)
 
-    order = Window.partitionBy("label").orderBy("h", "id")
-    sample = rows.select("label", "id", "text", F.xxhash64("id").alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    # The first ids of each label by hash, found among the first of each of _SALTS parts of it; texts are fetched afterwards.
+    keys = rows.select("label", "id", F.xxhash64("id").alias("h")).withColumn("salt", F.pmod(F.hash("id"), F.lit(_SALTS)))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
+    some = keys.withColumn("nth", first("label", "salt")).where(F.col("nth") <= per_language)
+    chosen = some.withColumn("nth", first("label")).where(F.col("nth") <= per_language).groupBy("label", "id").agg(F.min("nth").alias("nth"))
+    # At most per_language ids for each language, fewer than the model has numbers.
+    sample = rows.join(F.broadcast(chosen), ["label", "id"]).groupBy("label", "id", "nth").agg(F.min("text").alias("text"))
 
     def vectors(batches):
         for batch in batches:
