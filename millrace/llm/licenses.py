@@ -14,7 +14,8 @@ without an own licence take that of the nearest directory above, by joins on dis
 
 Results. A null or empty text has no own licence; a null path inherits nothing and speaks for nothing; ties between
 templates go to the larger name, between licence files of a directory to the larger name too. Repeated rows
-each get their row.
+each get their row. Very long texts, and texts of one line, are read whole. The result has its six columns only:
+further columns of files are dropped, and their names cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,6 +87,7 @@ TEXTS = (
     ("MPL-2.0", None, ("mozilla public license version 2.0",)),
 )
 _TITLE = 8
+SALTS = 16
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
@@ -193,7 +195,10 @@ def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col:
     folders = scored.where("own_license IS NULL AND path IS NOT NULL").select("folder").distinct()
     steps = F.split("folder", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.when(n == 0, F.lit("")).otherwise(F.array_join(F.slice(steps, F.lit(1), n), "/")))
-    nearest = folders.select("folder", F.posexplode(F.array_distinct(up)).alias("depth", "above")).join(said, "above").groupBy("folder").agg(F.max(F.struct("depth", "above", "given")).alias("n"))
-    out = scored.join(nearest, "folder", "left")
+    # Folders above very many others, and folders of very many files, are met in SALTS tasks.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    climbed = folders.select("folder", F.posexplode(F.array_distinct(up)).alias("depth", "above")).withColumn("salt", F.pmod(F.hash("folder"), F.lit(SALTS)))
+    nearest = climbed.join(said.withColumn("salt", salts), ["above", "salt"]).groupBy("folder").agg(F.max(F.struct("depth", "above", "given")).alias("n"))
+    out = scored.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(nearest.withColumn("salt", salts), ["folder", "salt"], "left")
     inherits = F.col("own_license").isNull()
     return out.select(F.col("id").alias(id_col), "path", "own_license", "own_score", F.coalesce("own_license", "n.given").alias("license"), F.when(inherits, F.col("n.above")).alias("inherited_from"))
