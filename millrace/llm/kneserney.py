@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, sorted hash arrays in files, memory-mapped.
 
 Counting: each task aggregates the (previous, next) pairs of its texts; Spark shuffles them by a part number
-that comes from the previous word's hash, and each part writes its pairs as one sorted array. The
+that comes from the previous word's hash (from the pair's where the previous word is very frequent), and each part
+writes its pairs as one sorted array. There is a part for every ``_PART_BYTES`` of text at least. The
 same pass gives each context's total and how many next words follow it once, twice and more often;
 grouping by the next word gives continuation counts. Discounts come from counts of counts over all pairs.
 The highest order uses raw counts, the lower one continuation counts with its own discounts, down to
@@ -9,10 +10,12 @@ the uniform distribution over the vocabulary and one unknown word.
 
 Words are 64-bit hashes; files are numpy arrays sorted by hash, written under a temporary name and then
 moved, so that repeated tasks are harmless. The shared folder must be mounted as a file system, as it is memory-mapped.
+Discounts need entries that were counted once, twice and three times; without them each is 0.5.
 
 Results. A null or empty text is one end token. Texts count whole; rows that share an id each count. With an
 empty training table each token has the probability of the uniform distribution (1). Other columns pass
-through; a clashing one gives way to the result.
+through; a clashing one gives way to the result. Ids are not looked at: null ids are rows like others. An empty
+table to score gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from millrace.llm.workspace import fresh, new_folder, quoted, table
 BOS = np.uint64(0x1B873593CC9E2D51)
 EOS = np.uint64(0x85EBCA6BC2B2AE35)
 _CHUNK = 1 << 19
+_PART_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,7 @@ class Model:
     vocabulary: int  #: V, distinct training tokens
     discounts: tuple[float, float, float]
     lower_rest: float  #: probability of any single word at the lower order before its own count
+    hot: tuple[int, ...] = ()  #: contexts whose pairs are dealt to all parts
 
 
 def _local(folder: str) -> str:
@@ -78,6 +83,15 @@ def _part(u: np.ndarray, parts: int) -> np.ndarray:
     return ((bytescan.mix(u) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
 
+def _pair_part(u: np.ndarray, key: np.ndarray, parts: int, hot: tuple[int, ...]) -> np.ndarray:
+    """The part of each pair: that of its context, or its own if the context is hot."""
+    out = _part(u, parts)
+    if hot:
+        spread = np.isin(u, np.array(hot, np.uint64))
+        out[spread] = _part(key[spread], parts)
+    return out
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -121,14 +135,16 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
     spark = docs.sparkSession
     folder = _local(new_folder(spark, "ngrams"))
     texts = docs.select(F.col(quoted(text_col)).cast("string").alias("text"))
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // _PART_BYTES, 1)
+    hot = _hot_contexts(texts, parts)
 
     def count(batches):
         held, size = [], 0
 
         def out():
-            _, u, v, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            where = _part(u, parts)
+            key, u, v, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            where = _pair_part(u, key, parts, hot)
             order = np.lexsort((u, where))
             u, v, n, where = u[order], v[order], n[order], where[order]
             edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
@@ -158,7 +174,7 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
             key, u, v, n = _summed(*(np.concatenate(x) for x in zip(*by.pop(k), strict=True)))
             _save(folder, f"pair-{k}", key=key, n=n.astype(np.min_scalar_type(int(n.max()))))
             some = [int((n == i).sum()) for i in (1, 2, 3, 4)]
-            for what, word in ((0, u), (1, v)):  # contexts are whole here; next words are summed over parts later
+            for what, word in ((0, u), (1, v)):  # both are summed over parts later
                 order = np.argsort(word)
                 w, c = word[order], n[order]
                 first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -198,7 +214,33 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
 
     placed = words.mapInArrow(_with_part(parts), "part int, " + ", ".join(f"{x} long" for x in names[:7])).repartition(parts, "part").drop("part")
     placed.mapInArrow(finish, "n long").agg(F.sum("n")).collect()
-    return Model(folder, parts, int(n), int(size), d, float(rest))
+    return Model(folder, parts, int(n), int(size), d, float(rest), hot)
+
+
+def _hot_contexts(texts: DataFrame, parts: int) -> tuple[int, ...]:
+    """Contexts that hold more than half a part's mean share of the tokens, at most 2 * parts of them; found in every
+    64th text by hash. They decide only where pairs are counted, so a context that is missed changes no result."""
+    least = 1 / (2 * parts)
+
+    def run(batches):
+        held: dict[int, int] = {}
+        n = 0
+        for batch in batches:
+            for _, _, data, offsets in bytescan.text_blocks(batch.column(0)):
+                u, k = np.unique(_tokens(data, offsets)[1], return_counts=True)
+                n += int(k.sum())
+                often = k >= least * k.sum() / 8
+                for x, c in zip(u[often].tolist(), k[often].tolist(), strict=True):
+                    held[x] = held.get(x, 0) + c
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([0, *held], np.uint64).view(np.int64)), pa.array([n, *held.values()], pa.int64()), pa.array([True] + [False] * len(held))], names=["u", "n", "whole"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).mapInArrow(run, "u long, n long, whole boolean").groupBy("u", "whole").agg(F.sum("n").alias("n"))
+    total = some.where("whole").agg(F.sum("n")).first()[0]
+    if not total:
+        return ()
+    found = some.where(~F.col("whole") & (F.col("n") >= least * total)).select("u").collect()
+    return tuple(sorted(r.u % (1 << 64) for r in found))
 
 
 def _with_part(parts: int):
@@ -240,7 +282,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         c, p1 = _lookup(words, _part(words, m.parts), m.folder, "word", "c", "p", defaults=(0, m.lower_rest))
         contexts, ctx = np.unique(before, return_inverse=True)
         total, gamma = _lookup(contexts, _part(contexts, m.parts), m.folder, "word", "total", "gamma", defaults=(0, 1.0))
-        (n,) = _lookup(_pair(before, token), _part(contexts, m.parts)[ctx], m.folder, "pair", "n", defaults=(0,))
+        key = _pair(before, token)
+        (n,) = _lookup(key, _pair_part(before, key, m.parts, m.hot), m.folder, "pair", "n", defaults=(0,))
         high = np.maximum(n - np.choose(np.minimum(n, 3), (0.0, *m.discounts)), 0) / np.maximum(total[ctx], 1)
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
         return c[at] > 0, base[at], np.log10(high + gamma[ctx] * p1[at])
