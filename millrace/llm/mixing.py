@@ -7,13 +7,16 @@ total budget, so each source is cut near its target.
 
 Running sums never need a source, or the whole table, in one task: units are dealt to hash-prefix
 buckets, buckets get their offsets from a table of bucket sums, and only one bucket at a time is
-summed in order. The global cut is found the same way from sums over intervals of finish time, narrowed
-twice; only those interval tables (of fixed size) come to the driver.
+summed in order. The items are then range-sorted by finish time over the whole cluster; the sums of the
+sorted ranges (one row each) tell in which range the budget ends, and that range alone is summed item by item.
+Windows without a partition see one row for each source, or one such range.
 
 Results. Size is the number of words, null texts 0; a document of size 0 is never taken. Sources in code
 point order, null last, take the weights in turn. No target exceeds ``most_passes`` times its source's
 size; the excess goes to the others by weight until none is above. Rows that agree in id, source and
-text are one unit: each of them is taken as often. Null ids sort first. Empty table: no rows.
+text are one unit: each of them is taken as often. Null ids sort first. Items that finish at the same time
+are taken together or not at all. Empty table: no rows. Very long texts count whole; other columns stay
+in ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from millrace.llm.workspace import cut, fresh, quoted
 
 WEIGHTS = (3, 1, 2)
 _UNIT_ROWS = 20_000
-_INTERVALS = 4096
 
 
 def word_count(text):
@@ -54,9 +56,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...], percent: int, most_pas
 
 
 def schedule(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most_passes: int = 2) -> DataFrame:
-    """One row for each unit: id, source, tie (hash of the text), size, source_size, target, finish (of the first pass), copies."""
+    """One row for each unit: id, source, tie (hash of the text), rows (how many documents), size, source_size, target,
+    finish (of the first pass), copies (how often each of them is taken)."""
     raw = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"), F.xxhash64(F.col(quoted(text_col))).alias("tie"), word_count(F.col(quoted(text_col))).alias("size"))
-    units = cut(raw.groupBy("id", "source", "tie", "size").agg(F.count("*").alias("rows")).withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))))
+    units = cut(raw.groupBy("id", "source", "tie", "size").agg(F.count("*").alias("rows")).withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("tie").cast("string"))).cast("binary"))))
     n = units.count()
     digits = 0
     while n > _UNIT_ROWS * 16**digits:
@@ -70,29 +73,26 @@ def schedule(docs: DataFrame, id_col: str, source_col: str, text_col: str, weigh
     within = Window.partitionBy("source", "bucket").orderBy("h", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     o = offsets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "start", "source_size", "target")
     so_far = units.withColumn("own", F.sum("mass").over(within)).join(o, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    done = cut(so_far.select("id", "source", "tie", "size", "mass", "source_size", "target", (F.col("start") + F.col("own")).alias("sum")))
+    done = cut(so_far.select("id", "source", "tie", "rows", "size", "mass", "source_size", "target", (F.col("start") + F.col("own")).alias("sum")))
 
     items = done.where("mass > 0 AND target > 0").select("mass", F.explode(F.array(*[(F.col("sum") + F.col("source_size") * i) / F.col("target") for i in range(most_passes)])).alias("f"))
     total = offsets.select("source", "source_size").distinct().agg(F.sum("source_size")).first()[0] or 0
-    last = _cut_time(items, min(percent, 100 * most_passes) * total / 100)
-    copies = sum((F.coalesce(((F.col("sum") + F.col("source_size") * i) / F.col("target") <= F.lit(last)).cast("int"), F.lit(0)) for i in range(most_passes)), F.lit(0)) if last is not None else F.lit(0)
-    return done.select("id", "source", "tie", "size", "source_size", "target", F.when((F.col("mass") > 0) & (F.col("target") > 0), F.col("sum") / F.col("target")).alias("finish"), F.when(F.col("mass") > 0, copies).otherwise(0).alias("copies"))
-
-
-def _cut_time(items: DataFrame, budget: float) -> float | None:
-    """The largest finish time f such that the items up to f have no more words than the budget."""
-    before, low, width, now = 0, 0.0, 1.0 / _INTERVALS, items
-    for _ in range(2):
-        slot = F.least(F.floor((F.col("f") - low) / width), F.lit(2 * _INTERVALS)).cast("int")
-        rows = sorted(now.groupBy(slot.alias("slot")).agg(F.sum("mass").alias("mass"), F.min("f").alias("least"), F.max("f").alias("most")).collect())
-        inside = next((r for r in rows if (before := before + r.mass) > budget), None)
-        if inside is None:
-            return rows[-1].most if rows else None
-        before -= inside.mass
-        now, low, width = now.where(F.col("f").between(inside.least, inside.most)), inside.least, max((inside.most - inside.least) / _INTERVALS, 1e-300)
-    each = now.groupBy("f").agg(F.sum("mass").alias("mass")).withColumn("upto", F.sum("mass").over(Window.orderBy("f")) + before)
-    found = each.where(F.col("upto") <= budget).agg(F.max("f")).first()[0]
-    return found if found is not None else items.where(F.col("f") < low).agg(F.max("f")).first()[0]
+    end = _end(items, min(percent, 100 * most_passes) * total / 100)
+    taken = lambda i: F.lit(1) if end is None else ((F.col("sum") + F.col("source_size") * i) / F.col("target") < F.lit(end)).cast("int")
+    copies = F.when(F.col("target") > 0, sum((taken(i) for i in range(most_passes)), F.lit(0))).otherwise(0)
+    return done.select("id", "source", "tie", "rows", "size", "source_size", "target", F.when((F.col("mass") > 0) & (F.col("target") > 0), F.col("sum") / F.col("target")).alias("finish"), F.when(F.col("mass") > 0, copies).otherwise(0).alias("copies"))
+
+
+def _end(items: DataFrame, budget: float) -> float | None:
+    """The first finish time at which the items, in order, have more words than the budget; None if they never do."""
+    ranged = cut(items.repartitionByRange("f").sortWithinPartitions("f").withColumn("place", F.spark_partition_id()))
+    before = 0.0
+    for r in sorted(ranged.groupBy("place").agg(F.sum("mass").alias("mass")).collect()):
+        if before + r.mass > budget:
+            upto = F.sum("mass").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0)) + before
+            return ranged.where(F.col("place") == r.place).withColumn("upto", upto).where(F.col("upto") > budget).agg(F.min("f")).first()[0]
+        before += r.mass
+    return None
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most_passes: int = 2) -> DataFrame:
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def mix_in_order(docs: DataFrame, **how) -> DataFrame:
-    """The schedule's taken items, range-sorted by finish time over the whole cluster (id, source, pass_no, finish)."""
+    """The queue itself: the taken items in order of finish time over the whole cluster (id, source, pass_no, finish)."""
     passes = how.get("most_passes", 2)
     plan = schedule(docs, how.pop("id_col", "doc_id"), how.pop("source_col", "source"), how.pop("text_col", "text"), **how).where("copies > 0")
     items = plan.select("id", "source", F.posexplode(F.slice(F.array(*[F.col("finish") + F.col("source_size") / F.col("target") * i for i in range(passes)]), F.lit(1), F.col("copies"))).alias("pass_no", "finish"))

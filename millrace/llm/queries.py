@@ -44,7 +44,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.schedule(_documents(spark, sf_dir), "doc_id", "source", "text")
-    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    each = found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows"))))  # one row for each document
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
