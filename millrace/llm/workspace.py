@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_UNSET = "/tmp/checkpoints/millrace"
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where unset (tests), a local one is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; where unset, a local master gets a folder of its own."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if folder is None:
-        folder = f"file://{_UNSET}"
+        folder = f"file://{tempfile.gettempdir()}/millrace-{sc.applicationId}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
     return folder
