@@ -3,19 +3,22 @@
 ``write`` decides over all pages which payloads repeat (by SHA-1 and length, in Spark), deals the pages to
 files of about ``file_bytes``, and writes each file under a temporary name before it is moved into place, so
 that a task that is run again replaces its own file. Files go to the shared folder through pyarrow's
-file systems. ``read`` opens each file in a task and salvages: where a member's checks fail (gzip CRC, version line,
+file systems. ``read`` reads each file as a stream in a task and salvages: where a member's checks fail (gzip CRC, version line,
 header, length, end mark, block digest), it searches for the next member or version line that passes, whichever
 is nearer, recovers what follows, and reports the bytes between as a gap. A member may hold several records.
 
 Results. A null payload is empty. Of pages with equal payloads of at least ``least_bytes`` the largest id is the
 response, the others revisit it. Rows that repeat that id are responses too; a null id is written without
-a number and refers to nothing. An empty table writes no file that has records.
+a number and refers to nothing. An empty table writes no file that has records. Very long payloads and urls count
+whole. Only id, url and payload are stored: further columns of pages are dropped, and their names cannot clash.
+Which pages revisit one that very many share is decided from counts by digest and a join that Spark splits.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import zlib
 
@@ -30,6 +33,7 @@ from millrace.llm.workspace import cut, new_folder, quoted
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CHUNK = 1 << 16
+_WINDOW = 4 << 20
 _RECORD = "offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -153,44 +157,77 @@ def _unpack(data: bytes, at: int) -> tuple[list[tuple], list[tuple], int, str]:
     return found, bad, min(end, len(data)) - at - len(z.unused_data), "record in member fails its checks"
 
 
-def salvage(data: bytes):
+class _Window:
+    """A stretch of an archive that grows and moves on: what is read and not yet done with."""
+
+    def __init__(self, read):
+        self.read, self.data, self.at, self.base, self.ended = read, b"", 0, 0, False
+
+    def more(self) -> bool:
+        """Reads on, as much again as is held at least; whether there was anything."""
+        left = self.data[self.at :]
+        new = b"" if self.ended else self.read(max(_WINDOW, len(left)))
+        self.base, self.at, self.ended, self.data = self.place, 0, not new, left + new
+        return bool(new)
+
+    @property
+    def place(self) -> int:
+        return self.base + self.at
+
+    @property
+    def left(self) -> int:
+        return len(self.data) - self.at
+
+
+def _at(data: bytes, i: int) -> tuple[list[tuple], int, str, bool]:
+    """Records of the member or plain record that starts there, its length, what is wrong, and whether bad bytes are beside them."""
+    if data.startswith(_MEMBER, i):
+        found, spans, step, reason = _unpack(data, i)
+        return found, step, reason, bool(spans)
+    if _VERSION.match(data, i):
+        got = _parse(data, i)
+        return ([got[:2]], got[2], "", False) if got else ([], 0, "record fails its checks", False)
+    return [], 0, "no member", False
+
+
+def salvage(read):
     """Yields ("record", offset, headers, block) and ("gap", offset, length, reason) over a whole archive.
 
+    read is bytes, or a function that gives so many of the next bytes. Only the record at hand is held; a start whose
+    checks fail is looked at again with more bytes, so damage costs memory up to the next bytes that pass.
     Members and plain records may be mixed. The offset of a record in a member is the member's; a member
     that holds bad bytes beside valid records is also a gap, one that holds none is part of the gap around it.
     """
-    at, bad, why = 0, None, ""
-    member, line = -1, -1  # the next places of either kind, searched for once they are passed
-    while at < len(data):
-        found, step, reason, hurt = [], 0, "no member", False
-        if data.startswith(_MEMBER, at):
-            found, spans, step, reason = _unpack(data, at)
-            hurt = bool(spans)
-        elif _VERSION.match(data, at):
-            reason, got = "record fails its checks", _parse(data, at)
-            if got:
-                found, step = [got[:2]], got[2]
+    w = _Window(io.BytesIO(read).read if isinstance(read, bytes) else read)
+    bad, why = None, ""  # where the gap at hand began
+    while w.left > 0 or w.more():
+        found, step, reason, hurt = _at(w.data, w.at)
+        while not found and (reason in ("member is cut off", "record fails its checks") or w.left < 16) and w.more():
+            found, step, reason, hurt = _at(w.data, w.at)
         if found:
             if bad is not None:
-                yield "gap", bad, at - bad, why
+                yield "gap", bad, w.place - bad, why
                 bad = None
             for head, block in found:
-                yield "record", at, head, block
+                yield "record", w.place, head, block
             if hurt:
-                yield "gap", at, step, reason
-            at += step
+                yield "gap", w.place, step, reason
+            w.at += step
             continue
         if bad is None:
-            bad, why = at, reason
-        if member <= at:
-            member = data.find(_MEMBER, at + 1)
-            member = len(data) if member < 0 else member
-        if line <= at:
-            m = _VERSION.search(data, at + 1)
-            line = m.start() if m else len(data)
-        at = min(member, line)
+            bad, why = w.place, reason
+        while True:  # on to the nearer of the next member and version line
+            member, line = w.data.find(_MEMBER, w.at + 1), _VERSION.search(w.data, w.at + 1)
+            places = [x for x in (member, line.start() if line else -1) if x >= 0]
+            if places:
+                w.at = min(places)
+                break
+            w.at = max(len(w.data) - 16, w.at)  # a mark may lie across the end
+            if not w.more():
+                w.at = len(w.data)
+                break
     if bad is not None:
-        yield "gap", bad, len(data) - bad, why
+        yield "gap", bad, w.place - bad, why
 
 
 def _number(uri: str) -> int | None:
@@ -206,7 +243,7 @@ def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             for path in batch.column(0).to_pylist():
                 store, name = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(name, compression=None) as f:
-                    yield path, salvage(f.read())
+                    yield path, salvage(f.read)
 
     def records(batches):
         for _, parts in each(batches):

@@ -238,6 +238,32 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_reads_damaged_files_as_streams(spark, tmp_path, monkeypatch):
+    made = [warc.record(i, "u" * (1 << 20 if i == 3 else 9), random.Random(i).randbytes(3000).hex().encode(), None) for i in range(40)]
+    hurt = bytearray(b"".join(made))
+    begins = [sum(map(len, made[:i])) for i in range(41)]
+    for i in (0, 7, 8, 39):
+        hurt[begins[i] + len(made[i]) // 2] ^= 255
+    (tmp_path / "d.warc.gz").write_bytes(hurt)
+    files = spark.createDataFrame([(f"file://{tmp_path}/d.warc.gz", 0)], "path string, records int")
+    records, gaps = warc.read(files)
+    assert sorted(r.page_id for r in records.collect()) == [i for i in range(40) if i not in (0, 7, 8, 39)]
+    assert sorted((g.offset, g.length) for g in gaps.collect()) == [(0, begins[1]), (begins[7], begins[9] - begins[7]), (begins[39], len(made[39]))]
+    whole = list(warc.salvage(bytes(hurt)))
+    monkeypatch.setattr(warc, "_WINDOW", 1000)
+    assert list(warc.salvage(bytes(hurt))) == whole
+
+
+def test_warc_of_repeated_ids_clashes_and_nothing(spark, tmp_path):
+    rows_ = [(7, "u", "a", 1), (7, "u", "a", 2), (None, None, "a", 3), (3, "v", "a", 4), (9, "w", None, 5)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string, payload int")
+    records, gaps = warc.read(warc.write(pages, folder=f"file://{tmp_path}/a"))
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in records.collect()), key=str)
+    assert got == sorted([(7, "response", None), (7, "response", None), (None, "response", None), (3, "revisit", 7), (9, "response", None)], key=str)
+    records, gaps = warc.read(warc.write(pages.limit(0), folder=f"file://{tmp_path}/b"))
+    assert records.count() == 0 and gaps.count() == 0
+
+
 def test_warc_salvages_mixed_archives(spark, tmp_path):
     made = [warc.record(i, "u", bytes([65 + i]) * 500, None) for i in range(5)]
     plain = [zlib.decompress(x, 31) for x in made]
