@@ -7,8 +7,8 @@ occurrences. The occurrences are the edges of a lattice; sorted by end position
 left to right: at each position exactly one edge ends that is compatible with the last piece of the prefix
 that it extends. Two pieces are compatible if merging by priority never joins across their border; a
 sequence in which all neighbours are compatible is the merge result itself, so the relaxed path equals
-SentencePiece's output. Cuts that begin with several U+2581 (whose pieces tie in score) and any cut
-where the relaxation is not unique are merged one by one instead.
+SentencePiece's output; ties of score, as in runs of U+2581, go to the left. Should a cut have no such sequence or
+more than one, it is merged one by one instead.
 
 The model file is read here (pieces, scores, kinds); nothing is trained. Characters without a piece become
 byte pieces. Results are kept for cuts and piece pairs in bounded tables of each Python worker.
@@ -189,14 +189,11 @@ class Vocabulary:
         block: list[str] = []
         size = 0
         for c in cuts:
-            if c.startswith(SPACE * 2):
-                self.cuts[c] = self._emit(self.merge(c))
-            else:
-                block.append(c)
-                size += len(c) + 1
-                if size > _CHARS:
-                    self._relax(block)
-                    block, size = [], 0
+            block.append(c)
+            size += len(c) + 1
+            if size > _CHARS:
+                self._relax(block)
+                block, size = [], 0
         if block:
             self._relax(block)
 
