@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bytescan
 from millrace.llm.components import components
-from millrace.llm.workspace import cut, fresh, quoted
+from millrace.llm.workspace import cut, fresh, quoted, settled
 
 SKETCH = 64
 _SIGMAS = 5.2
@@ -141,7 +141,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame, k: int, perce
     both = _with(pairs, sets, "n", "sketch").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
-    likely = cut(both.where(shared >= F.size(union) * (percent / 100 - slack)).select("a", "b"))
+    likely = settled(both.where(shared >= F.size(union) * (percent / 100 - slack)).select("a", "b"))
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     met = _with(likely, whole, "shingles")
     return met.where(common * 100 >= (F.size("shingles_a") + F.size("shingles_b") - common) * percent).select("a", "b").distinct()
@@ -233,27 +233,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = cut(sketches(docs, id_col, text_col, width, k))
     usable = made.where("n > 0 AND id IS NOT NULL")
     groups = usable.groupBy("p1", "p2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sets = cut(groups)
+    sets = settled(groups, 4000)
     reps = sets.select(F.col("rep").alias("id"), "n", "sketch")
 
-    listed = cut(_postings(reps, _overlap_column(k, percent)))
+    listed = settled(_postings(reps, _overlap_column(k, percent)))
     first = listed.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
-    stars = cut(listed.join(first, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    stars = settled(listed.join(first, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct())
     wanted = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text")).join(wanted, "id", "left_semi")
-    whole = cut(full_sets(texts, "id", "text", width))
-    links = cut(_verified(stars, reps, whole, k, percent))
-    label = cut(components(links))
+    whole = settled(full_sets(texts, "id", "text", width), 4000)
+    label = settled(components(_verified(stars, reps, whole, k, percent)))
 
     # Where several components are left in a list, its sets meet across components.
     named = listed.join(label, "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("size")).where("least <> most").select("v", "size")
-    left = cut(named.join(mixed, "v"))
+    left = settled(named.join(mixed, "v"))
     short = left.where(F.col("size") <= _SHORT).select("v", "id", "c")
     x, y = short.toDF("v", "a", "ca"), short.toDF("v", "b", "cb")
     few = x.join(y, "v").where("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     wide = whole.select("id", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, _WIDE).alias("wide"))
-    passed = cut(_across(left.where(F.col("size") > _SHORT).select("v", "id", "c"), wide, percent))
+    passed = settled(_across(left.where(F.col("size") > _SHORT).select("v", "id", "c"), wide, percent))
     unsure = passed.where("NOT exact").select("a", "b")
     more = passed.where("exact").select("a", "b").union(_verified(few.union(unsure).distinct(), reps, whole, k, percent))
 

@@ -33,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame, rows_each: int = 50_000) -> DataFrame:
+    """cut(df), in as few partitions as give each so many rows: what reads it next writes as few shuffle files."""
+    done = cut(df)
+    return done.coalesce(max(1, -(-done.count() // rows_each)))
+
+
 def table(df: DataFrame, what: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: compact where columns repeat values."""
     folder = new_folder(df.sparkSession, what)

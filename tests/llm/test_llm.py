@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import kneserney, langid, licenses, linededup, media, mixing, neardup, pieces, quality, queries, warc
+from millrace.llm import components, kneserney, langid, licenses, linededup, media, mixing, neardup, pieces, quality, queries, warc
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, score string"
@@ -118,6 +118,7 @@ def test_near_duplicates_in_long_mixed_lists(spark, percent, monkeypatch):
     monkeypatch.setattr(neardup, "_BLOCK", 16)
     monkeypatch.setattr(neardup, "_WIDE", 128)
     monkeypatch.setattr(neardup, "_HUB", 10)
+    monkeypatch.setattr(components, "ONE_TASK", 0 if percent == 80 else components.ONE_TASK)
     rows_ = near_groups()
     got = neardup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string").repartition(4), percent=percent).collect()
     want = components_by_hand(rows_, percent)
