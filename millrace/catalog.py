@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import storage
 from millrace.functions import text as tx
 from millrace.operators import compose, graph, history, reduce, reliability, rows, state, trace
 from millrace.plans.flow import Flow
@@ -125,21 +126,19 @@ def guard_truthy(df):
 
 @_query("orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS size FROM orders")
 def branch_yes_no(df):
-    b = rows.branch(rows.decide(df, F.col("o_totalprice") > 100000), ["yes", "no"])
-    return rows.converge([b["yes"].select("o_orderkey", F.lit("big").alias("size")), b["no"].select("o_orderkey", F.lit("small").alias("size"))])
+    return rows.branch_columns(df, F.col("o_totalprice") > 100000, {"yes": {"size": F.lit("big")}, "no": {"size": F.lit("small")}}).select("o_orderkey", "size")
 
 
 @_query("events", "SELECT event_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'purchase' THEN 'B' ELSE 'rest' END AS lane FROM events")
 def branch_else(df):
-    b = rows.branch(rows.decide(df, F.col("event_type")), ["click", "purchase", "else"])
-    return rows.converge([b[k].select("event_id", F.lit(v).alias("lane")) for k, v in (("click", "A"), ("purchase", "B"), ("else", "rest"))])
+    return rows.branch_columns(df, F.col("event_type"), {k: {"lane": F.lit(v)} for k, v in (("click", "A"), ("purchase", "B"), ("else", "rest"))}).select("event_id", "lane")
 
 
 @_query("orders", "SELECT CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 150000 THEN 'mid' ELSE 'high' END AS label, count(*) AS n FROM orders GROUP BY 1")
 def branch_label3(df):
     label = F.when(F.col("o_totalprice") < 50000, "low").when(F.col("o_totalprice") < 150000, "mid").otherwise("high")
-    b = rows.branch(rows.decide(df, label, "_decision"), ["low", "mid", "else"])
-    return rows.converge([d.select(F.when(F.lit(k) == "else", "high").otherwise(k).alias("label")) for k, d in b.items()]).groupBy("label").agg(F.count("*").alias("n"))
+    cases = {"low": {"label": F.lit("low")}, "mid": {"label": F.lit("mid")}, "else": {"label": F.lit("high")}}
+    return rows.branch_columns(df, label, cases).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @_query2(("orders", "customer"), "SELECT coalesce(o.k, c_custkey) AS k, o.n, coalesce(o.note, c.c_name) AS c_name FROM (SELECT o_custkey AS k, count(*) AS n, CASE WHEN count(*) > 12 THEN 'many' END AS note FROM orders GROUP BY 1) o FULL JOIN customer c ON o.k = c.c_custkey")
@@ -196,12 +195,15 @@ def schema_validate_passthrough(df):
 
 @_query("part", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class, p_size * 2 + 1 AS twice FROM part")
 def script_if_chain(df):
-    return df.select("p_partkey", F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").otherwise("large").alias("class"), (F.col("p_size") * 2 + 1).alias("twice"))
+    size = F.col("p_size")
+    out = tx.map_result(df, {"class": tx.if_chain((size < 10, "small"), (size < 30, "medium"), otherwise="large"), "twice": size * 2 + 1})
+    return out.select("p_partkey", "class", "twice")
 
 
 @_query("lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_tax > 0.04 AS taxed FROM lineitem")
 def script_map_result(df):
-    return df.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), (F.col("l_tax") > 0.04).alias("taxed"))
+    out = tx.map_result(df, {"net": F.col("l_extendedprice") * (1 - F.col("l_discount")), "taxed": F.col("l_tax") > 0.04})
+    return out.select("l_orderkey", "l_linenumber", "net", "taxed")
 
 
 @_query("events", "SELECT event_id, count(*) OVER w AS count, string_agg(event_type, ',') OVER w AS accumulated FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
@@ -222,8 +224,8 @@ def reduce_append(df):
 
 @_query("events", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def reduce_merge(df):
-    m = df.withColumn("m", F.create_map("event_type", "value")).groupBy("user_id").agg(reduce.merge_maps("event_id", "m").alias("m"))
-    return m.select("user_id", F.explode("m").alias("event_type", "value"))
+    m = reduce.merge_rows(df.withColumn("m", F.create_map("event_type", "value")), ["user_id"], "event_id", "m")
+    return m.select("user_id", F.explode("merged").alias("event_type", "value"))
 
 
 @_query("conversations", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS joined FROM conversations GROUP BY 1")
@@ -431,20 +433,21 @@ def retry_status(df):
 @_query("part", "SELECT p_partkey, try_cast(substr(p_brand, 7) || CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE '' END AS BIGINT) AS value, try_cast(substr(p_brand, 7) || CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE '' END AS BIGINT) IS NULL AS _caught_error FROM part")
 def catch_error(df):
     raw = F.concat(F.substring("p_brand", 7, 99), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(""))
-    c = reliability.caught(raw.try_cast("long"), "not a number")
+    c = reliability.caught(raw.try_cast("long"), raw, "not a number")
     return df.select("p_partkey", c["value"].alias("value"), c["_caught_error"].alias("_caught_error"))
 
 
 @_query("part", "SELECT p_partkey, coalesce(try_cast(CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE p_size::VARCHAR END AS BIGINT), -1) AS value FROM part")
 def fallback_value(df):
     raw = F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(F.col("p_size").cast("string"))
-    return df.select("p_partkey", F.coalesce(raw.try_cast("long"), F.lit(-1).cast("long")).alias("value"))
+    return df.select("p_partkey", reliability.fallback(raw.try_cast("long"), F.lit(-1).cast("long")).alias("value"))
 
 
-@_query("events", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'value ' || (value > 50)::VARCHAR END AS error, 'load' AS _error_node FROM events")
+@_query("events", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'kind ' || (value > 50)::VARCHAR END AS failure_reason, 'load' AS _error_node FROM events")
 def error_simplify(df):
-    e = F.when(F.col("event_type") == "error", F.struct(F.lit("failed").alias("type"), F.concat(F.lit("value "), (F.col("value") > 50).cast("string")).alias("message")))
-    return rows.error_enrich(df.select("event_id", rows.error_simplify(e).alias("error")), "load")
+    bad = F.col("event_type") == "error"
+    failed = df.select("event_id", F.when(bad, "long message").alias("error"), F.when(bad, F.concat(F.lit("kind "), (F.col("value") > 50).cast("string"))).alias("error_type"), bad.alias("recoverable"))
+    return rows.error_transform(rows.error_transform(failed, "simplify"), "enrich", "load", {"error": "failure_reason"})
 
 
 @_query("documents", "SELECT doc_id, CASE WHEN contains(text, 'License') THEN 'legal' WHEN contains(text, 'the') THEN 'english' ELSE 'other' END AS answer FROM documents")
@@ -487,15 +490,27 @@ def cookie_domain(df):
 
 @_query("events", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS latest FROM events GROUP BY 1")
 def stream_event_totals(df):
-    from uuid import uuid4
+    folder = storage.new_folder(df.sparkSession, "totals")
+    t = streams.to_table(streams.totals(_stream(df), ["event_type"], "value"), ["event_type"], f"{folder}/out", f"{folder}/checkpoint")
+    return t.select("event_type", "n", F.round("total", 4).alias("total"), "latest")
+
 
-    spark, found = df.sparkSession, df.inputFiles()
+def _stream(df: DataFrame) -> DataFrame:
+    """The files of a table as a stream."""
+    found = df.inputFiles()
     path, name = found[0].rsplit("/", 1)
-    stream = streams.read_events(spark, path, df.schema, name if len(found) == 1 else "*.parquet")
-    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    name = f"totals_{uuid4().hex}"
-    t = streams.to_table(streams.totals(stream, ["event_type"], "value"), name, f"{folder}/{name}")
-    return t.select("event_type", "n", F.round("total", 4).alias("total"), "latest")
+    return streams.read_events(df.sparkSession, path, df.schema, name if len(found) == 1 else "*.parquet")
+
+
+@_query("events", f"SELECT CASE WHEN event_type IN ('click', 'purchase') THEN event_type ELSE 'dead letter' END AS target, count(*) AS n, sum(CASE event_type WHEN 'click' THEN {_K} + 1 WHEN 'purchase' THEN 2 * ({_K} + 1) END)::BIGINT AS total FROM events GROUP BY 1")
+def stream_routing(df):
+    """purchase enters the flow in its middle: its plan is what lies behind that node."""
+    flow = Flow().node("click", lambda d: d.withColumn("k", tx.json_path(F.col("props"), "k").cast("long") + 1)).node("double", lambda d: d.withColumn("k", F.col("k") * 2)).edge("click", "double")
+    middle = lambda d: flow.plan(only_reached=True, double=d.withColumn("k", tx.json_path(F.col("props"), "k").cast("long") + 1))["double"]
+    first = lambda d: flow.plan(only_reached=True, click=d)["click"]
+    folder = storage.new_folder(df.sparkSession, "routed")
+    out = streams.run_routed(_stream(df), "event_type", {"click": first, "purchase": middle}, f"{folder}/out", f"{folder}/checkpoint")
+    return out.groupBy(F.col("where").alias("target")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
 @_query("events", "SELECT CASE WHEN event_type IN ('click', 'purchase') THEN event_type ELSE 'dead letter' END AS target, count(*) AS n FROM events GROUP BY 1")
@@ -505,6 +520,270 @@ def event_routing(df):
     return rows.converge(parts).groupBy("target").agg(F.count("*").alias("n"))
 
 
+@_query("part", f"WITH e AS ({_EDGES}) SELECT src AS id, 'next' AS kind, dst AS other FROM e WHERE src % 2 = 0 UNION SELECT dst, 'previous', src FROM e WHERE dst % 2 = 0")
+def neighbours(df):
+    even = _nodes(df).where("id % 2 = 0").union(df.sparkSession.range(1).toDF("id"))
+    after = graph.successors(_edges(df), even).select("id", F.lit("next").alias("kind"), F.col("successor").alias("other"))
+    return after.union(graph.predecessors(_edges(df), even).select("id", F.lit("previous").alias("kind"), F.col("predecessor").alias("other")))
+
+
+@_query("part", "SELECT p_partkey AS id FROM part WHERE p_partkey % 7 = 0")
+def self_loops(df):
+    return graph.self_loops(_edges(df).union(df.where("p_partkey % 7 = 0").select("p_partkey", "p_partkey")))
+
+
+_LAST = "(SELECT max(p_partkey) FROM part)"
+
+
+@_query("part", f"SELECT p_partkey AS id, CASE WHEN p_partkey < 4 OR p_partkey % 4 = 3 OR (p_partkey // 4) * 4 + 2 > {_LAST} THEN CASE WHEN p_partkey >= 4 AND p_partkey % 4 = 1 THEN 1 ELSE 0 END ELSE p_partkey % 4 END::INTEGER AS wave FROM part")
+def waves_cyclic(df):
+    """Each run of four parts has a ring over its first three; waves begin at the smallest."""
+    base = df.where("p_partkey >= 4 AND p_partkey % 4 < 3").select(F.col("p_partkey").alias("src"))
+    ring = base.select("src", F.when(F.col("src") % 4 == 2, F.col("src") - 2).otherwise(F.col("src") + 1).alias("dst"))
+    return graph.waves(_nodes(df), ring)
+
+
+_PORTS = f"WITH e AS ({_EDGES}), t AS (SELECT src, dst, CASE src % 5 WHEN 0 THEN 'lost' ELSE 'out' END AS src_port, CASE dst % 7 WHEN 0 THEN 'lost' ELSE 'in' END AS dst_port FROM e)"
+
+
+@_query("part", _PORTS + """ SELECT src, dst, CASE WHEN src_port = 'lost' OR (dst_port = 'lost' AND dst % 2 = 0) THEN 'PortNotFound' ELSE 'PortTypeMismatch' END AS error,
+CASE WHEN src_port = 'lost' THEN src WHEN dst_port = 'lost' AND dst % 2 = 0 THEN dst END AS id, CASE WHEN src_port = 'lost' OR (dst_port = 'lost' AND dst % 2 = 0) THEN 'lost' END AS port
+FROM t WHERE src_port = 'lost' OR (dst % 2 = 0 AND (dst_port = 'lost' OR src % 3 = 0))""")
+def port_check(df):
+    """Sources give vec<text>, vec<i64> or any; even targets take vec<f32>, odd ones declare nothing."""
+    e = _edges(df).withColumns({"src_port": F.when(F.col("src") % 5 == 0, "lost").otherwise("out"), "dst_port": F.when(F.col("dst") % 7 == 0, "lost").otherwise("in")})
+    kind = F.when(F.col("id") % 3 == 0, "vec<text>").when(F.col("id") % 3 == 1, "vec<i64>").otherwise("any")
+    ids = _nodes(df)
+    ports = ids.select("id", F.lit("out").alias("direction"), F.lit("out").alias("port"), kind.alias("type")).union(ids.where("id % 2 = 0").select("id", F.lit("in"), F.lit("in"), F.lit("vec<f32>")))
+    return graph.port_errors(ports, e).select("src", "dst", "error", "id", "port")
+
+
+@_query("part", "SELECT p_size AS k, CASE WHEN p_size = 0 THEN 'no' ELSE 'yes' END AS by_int, CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'no' END AS by_text, count(*) AS n FROM (SELECT p_size % 4 AS p_size FROM part) GROUP BY 1")
+def guard_int(df):
+    d = df.select((F.col("p_size") % 4).alias("k"))
+    d = rows.decide(d, F.col("k"), "by_int")
+    return rows.decide(d, F.when(F.col("k") % 2 == 0, "true"), "by_text").groupBy("k", "by_int", "by_text").agg(F.count("*").alias("n"))
+
+
+@_query("events", "SELECT event_id, CASE event_type WHEN 'click' THEN 'yes' WHEN 'view' THEN 'Later' ELSE CASE WHEN value > 50 THEN 'yes' ELSE 'no' END END AS taken FROM events")
+def guard_model_fallback(df):
+    said = F.when(F.col("event_type") == "click", " YES ").when(F.col("event_type") == "view", "Later").when(F.col("event_type") == "error", "")
+    return df.select("event_id", rows.model_guard(said, F.when(F.col("value") > 50, "yes").otherwise("no")).alias("taken"))
+
+
+@_query("nation", "SELECT n_nationkey, n_name AS from_inputs, 'a+b' AS joined, 'results.none.x' AS literal, '/out' AS dir FROM nation")
+def select_paths(df):
+    views = {"inputs": F.to_json(F.struct(F.struct(F.col("n_name").alias("name")).alias("n"))), "results": F.lit('{"list": [{"k": "a"}, {"k": 1}, {"x": "c"}, {"k": "b"}]}'), "output_dir": F.lit("/out")}
+    return df.select("n_nationkey", rows.select_path(views, "inputs.n.name").alias("from_inputs"), rows.select_path(views, "results.list", "k", "+").alias("joined"), rows.select_path(views, "results.none.x").alias("literal"), rows.select_path(views, "output_dir").alias("dir"))
+
+
+@_query("lineitem", "SELECT l_orderkey, coalesce('[' || string_agg(CASE WHEN l_quantity > 30 THEN l_partkey::VARCHAR END, ',' ORDER BY l_linenumber, l_partkey) || ']', '[]') AS parts FROM lineitem GROUP BY 1")
+def json_query_filter(df):
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("quantity"))))
+    body = df.groupBy("l_orderkey").agg(F.to_json(F.struct(lines.alias("items"))).alias("body"))
+    return body.select("l_orderkey", tx.json_query(F.col("body"), "items[?quantity > `30`].l_partkey").alias("parts"))
+
+
+@_query("events", "SELECT event_id, value BETWEEN 5 AND 90 AND event_type IN ('click', 'view') AS validation_ok, concat_ws(',', CASE WHEN value < 5 THEN '/value minimum' END, CASE WHEN value > 90 THEN '/value maximum' END, CASE WHEN event_type NOT IN ('click', 'view') THEN '/type enum' END) AS failures FROM events")
+def schema_document(df):
+    doc = {"type": "object", "required": ["value", "type"], "properties": {"value": {"type": "number", "minimum": 5, "maximum": 90}, "type": {"enum": ["click", "view"], "minLength": 2}}}
+    body = F.to_json(F.struct("value", F.col("event_type").alias("type")))
+    out = tx.validated(df, tx.schema_errors(body, doc))
+    return out.select("event_id", "validation_ok", F.array_join(F.transform("validation_error", lambda e: F.concat_ws(" ", e.getField("instance_path"), e.getField("keyword"))), ",").alias("failures"))
+
+
+@_query("part", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'long' WHEN 1 THEN 'double' WHEN 2 THEN 'boolean' ELSE 'text' END AS kind, CASE WHEN p_partkey % 4 = 0 THEN p_partkey END AS as_long, CASE WHEN p_partkey % 4 = 1 THEN p_partkey + 0.5 END::DOUBLE AS as_double FROM part")
+def typed_scalars(df):
+    key = F.col("p_partkey").cast("string")
+    text = F.when(F.col("p_partkey") % 4 == 0, key).when(F.col("p_partkey") % 4 == 1, F.concat(key, F.lit(".5"))).when(F.col("p_partkey") % 4 == 2, "true").otherwise(F.concat(F.lit("n"), key))
+    return df.select("p_partkey", tx.typed_scalar(text).alias("t")).select("p_partkey", "t.kind", F.col("t.long").alias("as_long"), F.col("t.double").alias("as_double"))
+
+
+@_query("nation", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS got, n_nationkey % 2 = 0 AS has FROM nation")
+def context_lookup(df):
+    ctx = F.create_map(F.concat(F.lit("k"), (F.col("n_nationkey") % 2).cast("string")), F.col("n_name"))
+    return df.select("n_nationkey", tx.ctx_get(ctx, "k0").alias("got"), tx.ctx_has(ctx, "k0").alias("has"))
+
+
+@_query("part", "SELECT p_partkey, upper(p_name) AS up, length(p_name) AS n, p_brand || '/' || p_size::VARCHAR AS joined FROM part")
+def script_strings(df):
+    return tx.map_result(df, {"up": F.upper("p_name"), "n": F.length("p_name").cast("long"), "joined": F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"))}).select("p_partkey", "up", "n", "joined")
+
+
+@_query("conversations", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) || ',end' AS pushed, count(*) + 1 AS n FROM conversations GROUP BY 1")
+def script_arrays(df):
+    lists = df.groupBy("conv_id").agg(reduce.append("turn", "role").alias("r"))
+    pushed = F.array_append("r", F.lit("end"))
+    return tx.map_result(lists, {"pushed": F.array_join(pushed, ","), "n": F.size(pushed).cast("long")}).select("conv_id", "pushed", "n")
+
+
+@_query("conversations", "SELECT conv_id, string_agg(role || ',' || turn::VARCHAR, ',' ORDER BY turn) AS flat FROM conversations GROUP BY 1")
+def reduce_flatten(df):
+    pairs = df.withColumn("pair", F.array("role", F.col("turn").cast("string")))
+    return pairs.groupBy("conv_id").agg(F.array_join(reduce.flatten("turn", "pair"), ",").alias("flat"))
+
+
+@_query("orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 2 END::BIGINT AS count, 0::BIGINT AS errors FROM orders")
+def map_empty_list(df):
+    """A token with an empty or null list keeps its row, with no results."""
+    items = F.when(F.col("o_orderkey") % 3 != 0, F.array("o_custkey", "o_orderkey")).when(F.col("o_orderkey") % 2 == 0, F.array().cast("array<bigint>"))
+    each = compose.map_items(df.select("o_orderkey", items.alias("items")), F.col("items"), lambda d: d.withColumn("failed", F.lit(False)))
+    return reduce.collected(each, ["o_orderkey"], "pos", "item", "failed").select("o_orderkey", "count", "errors")
+
+
+@_query("orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'cancelled' ELSE 'completed' END AS state, CASE WHEN o_orderkey % 3 <> 0 THEN 'body#iter:0' END AS key FROM orders")
+def parallel_loop_states(df):
+    items = F.when(F.col("o_orderkey") % 3 != 0, F.array("o_custkey"))
+    return compose.parallel_loop(df, items, lambda d: d, "body").select("o_orderkey", "state", "key")
+
+
+@_query("conversations", "WITH s AS (SELECT role, count(*) AS calls, sum(length(text))::BIGINT AS tokens FROM conversations GROUP BY 1) SELECT * FROM s")
+def usage_by_role(df):
+    calls = df.select("role", F.length("text").cast("long").alias("tokens_in"), F.lit(None).cast("long").alias("tokens_out"), F.lit(1.0).alias("ms"))
+    return reduce.usage(calls, ["role"], "tokens_in", "tokens_out", "ms").select("role", "calls", "tokens")
+
+
+@_query("conversations", "SELECT conv_id, string_agg(turn::VARCHAR || ':' || role, ',' ORDER BY turn) AS outputs FROM conversations GROUP BY 1")
+def subgraph_outputs(df):
+    out = reduce.node_outputs(df, ["conv_id"], "turn", ["role"])
+    text = F.transform(F.array_sort(F.map_entries("outputs")), lambda e: F.concat(e.getField("key").cast("string"), F.lit(":"), e.getField("value").getField("role")))
+    return out.select("conv_id", F.array_join(text, ",").alias("outputs"))
+
+
+_DOUBLED = "WITH RECURSIVE r(k, n) AS (SELECT 1::BIGINT, 1 UNION ALL SELECT k * 2, n + 1 FROM r WHERE n < {})"
+
+
+@_query("region", _DOUBLED.format(5) + " SELECT 'until' AS stopped_by, 5::BIGINT AS iterations, count(*) AS count, sum(k)::BIGINT AS total FROM r")
+def loop_until_count(df):
+    """One new number a round until five are there."""
+    out = _doubling(df, until=lambda d, n: d.count() >= 5)
+    return _loop_row(df, out)
+
+
+@_query("region", _DOUBLED.format(4) + " SELECT 'break' AS stopped_by, 4::BIGINT AS iterations, count(*) AS count, sum(k)::BIGINT AS total FROM r")
+def loop_break(df):
+    return _loop_row(df, _doubling(df, break_on=F.col("k") == 8))
+
+
+@_query("region", "SELECT 'until_dry' AS stopped_by, 6::BIGINT AS iterations, 4::BIGINT AS count, 15::BIGINT AS total")
+def loop_dry_rounds(df):
+    """Beyond 8 the step repeats itself: two dry rounds end it."""
+    return _loop_row(df, compose.loop(lambda seen, i: df.sparkSession.range(1).select(F.lit(min(2**i, 8)).cast("long").alias("k")), F.col("k"), until_dry=2))
+
+
+def _doubling(df: DataFrame, **how) -> compose.Loop:
+    return compose.loop(lambda seen, i: df.sparkSession.range(1).select(F.lit(2**i).cast("long").alias("k")), F.col("k"), **how)
+
+
+def _loop_row(df: DataFrame, loop: compose.Loop) -> DataFrame:
+    sums = loop.collected.agg(F.sum("k").alias("total"))
+    return sums.select(F.lit(loop.stopped_by).alias("stopped_by"), F.lit(loop.iterations).cast("long").alias("iterations"), F.lit(loop.count).cast("long").alias("count"), "total")
+
+
+@_query("part", "SELECT p_partkey, CASE WHEN p_size >= 40 THEN p_size ELSE p_size + 10 * ((49 - p_size) // 10) END::BIGINT AS size FROM part")
+def while_guard(df):
+    """Adds 10 to sizes below 40 as long as there are any."""
+    grow = lambda d: d.withColumn("size", F.when(F.col("size") < 40, F.col("size") + 10).otherwise(F.col("size")))
+    start = df.select("p_partkey", F.col("p_size").cast("long").alias("size"))
+    return compose.while_(start, lambda d: not d.where("size < 40").isEmpty(), grow)[0]
+
+
+@_query("nation", "SELECT n_nationkey, n_nationkey * 8 AS value FROM nation")
+def repeat_three_times(df):
+    start = df.select("n_nationkey", F.col("n_nationkey").cast("long").alias("value"))
+    return compose.repeat(start, 3, lambda d: d.withColumn("value", F.col("value") * 2))
+
+
+@_query2(("orders", "customer"), "SELECT o_orderkey, c_acctbal AS response FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'")
+def submit_batch(orders, customer):
+    """Only customers that wait are answered, so the batch holds."""
+    _, pending = state.suspend(orders, F.col("o_orderstatus") == "O")
+    waiting = customer.join(pending.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return state.submit(pending, waiting.select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("response")), "o_custkey").select("o_orderkey", "response")
+
+
+@_query("nation", "SELECT 'k' || (n_nationkey % 5)::VARCHAR AS key, max(n_nationkey)::VARCHAR AS value FROM nation GROUP BY 1 UNION ALL SELECT 'only', 'config'")
+def layered_inputs(df):
+    config = df.where("n_nationkey < 10").select(F.concat(F.lit("k"), (F.col("n_nationkey") % 5).cast("string")).alias("key"), F.lit("old").alias("value"))
+    latest = df.groupBy(F.concat(F.lit("k"), (F.col("n_nationkey") % 5).cast("string")).alias("key")).agg(F.max("n_nationkey").cast("string").alias("value"))
+    only = df.sparkSession.range(1).select(F.lit("only").alias("key"), F.lit("config").alias("value"))
+    return state.layered(config.union(only), latest)
+
+
+@_query("orders", "SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'cached' ELSE 'call' END AS answered FROM orders")
+def memo_lookup(df):
+    """Every fourth customer is cached; those divisible by 3 alone had answers that have expired."""
+    key = F.sha2(F.to_json(F.struct("o_custkey")), 256)
+    cache = df.where("o_custkey % 4 = 0 OR o_custkey % 3 = 0").select(key.alias("key"), F.when(F.col("o_custkey") % 4 == 0, F.lit("2024-01-01 00:00:00")).otherwise("2023-01-01 00:00:00").cast("timestamp").alias("at"), F.lit("r").alias("response")).distinct()
+    hit, miss = state.memo(df.select("o_orderkey", "o_custkey"), cache, ["o_custkey"], F.lit("2024-01-01 00:01:00").cast("timestamp"), 3600)
+    return hit.select("o_orderkey", F.lit("cached").alias("answered")).union(miss.select("o_orderkey", F.lit("call").alias("answered")))
+
+
+@_query("events", f"SELECT user_id, node, retries > 0 AS retried, state FROM ({_TRACE}) WHERE retries > 0 UNION ALL SELECT user_id, node, NULL, state FROM ({_TRACE}) WHERE state = 'completed'")
+def trace_filters(df):
+    t = _traced(df)
+    return trace.only(t, "retried").select("user_id", "node", F.lit(True).alias("retried"), "state").union(trace.only(t, "completed").select("user_id", "node", F.lit(None).cast("boolean"), "state"))
+
+
+@_query("events", "SELECT event_id FROM events WHERE event_id > 100")
+def events_since(df):
+    return trace.since(rows.observed(df, "seen"), "event_id", 100).select("event_id")
+
+
+@_query("customer", "SELECT c_custkey, 'authorization: Bearer ' || c_name AS bearer, 'x-seg: ' || c_mktsegment AS fixed FROM customer")
+def auth_headers(df):
+    line = lambda h: F.concat(h.getField("name"), F.lit(": "), h.getField("value"))
+    return df.select("c_custkey", line(files.bearer(F.col("c_name"))).alias("bearer"), line(files.static_header(F.lit("X-Seg"), F.col("c_mktsegment"))).alias("fixed"))
+
+
+@_query("region", "SELECT r_regionkey, 'f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8' AS mac FROM region")
+def auth_hmac(df):
+    """The well-known value for this key and sentence."""
+    return df.select("r_regionkey", files.hmac(F.lit("The quick brown fox jumps over the lazy dog"), b"key").alias("mac"))
+
+
+@_query("nation", "SELECT n_nationkey, CASE WHEN n_regionkey % 2 = 0 THEN 'a=new; t=' || n_regionkey::VARCHAR END AS cookie, CASE WHEN n_regionkey % 2 = 0 THEN n_regionkey::VARCHAR END AS token FROM nation")
+def cookie_jar(df):
+    """Regions are runs; odd ones' cookies belong to another domain."""
+    runs = df.select(F.col("n_regionkey").alias("run")).distinct()
+    domain = F.when(F.col("run") % 2 == 0, ".x.org").otherwise("y.org").alias("domain")
+    put = lambda name, value, seq: runs.select("run", F.lit(name).alias("name"), value.alias("value"), domain, F.lit(seq).alias("seq"))
+    jar = put("a", F.lit("old"), 1).union(put("a", F.lit("new"), 2)).union(put("t", F.col("run").cast("string"), 3))
+    asked = df.select("n_nationkey", F.col("n_regionkey").alias("run"), F.lit("api.x.org:80").alias("host"))
+    return files.cookie_headers(asked, jar, "host", ("t", "token")).select("n_nationkey", "cookie", "token")
+
+
+@_query("nation", "SELECT n_nationkey, n_name AS label, length(n_name) AS n FROM nation")
+def flow_ports(df):
+    """Named ports: the target sees only what its edges bring, under its own names."""
+    flow = Flow().node("in").node("out", lambda d: d.withColumn("n", F.length("label").cast("long"))).edge("in", "out", ports={"n_nationkey": "n_nationkey", "n_name": "label"})
+    return flow.plan(**{"in": df})["out"]
+
+
+@_query2(("nation", "region"), "SELECT n_nationkey AS id, upper(n_name) AS name, CASE WHEN r_regionkey IS NOT NULL THEN lower(r_name) END AS region FROM nation LEFT JOIN region ON n_nationkey = r_regionkey")
+def subgraph_call(nation, region):
+    """A flow of two sources, called with tables by name; its sinks stand side by side."""
+    flow = Flow().node("n", lambda d: d.withColumn("name", F.upper("name"))).node("r", lambda d: d.withColumn("region", F.lower("region"))).node("named").node("regional").edge("n", "named").edge("r", "regional")
+    return flow.invoke({"n": nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), "r": region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("region"))}, "id")
+
+
+@_query("region", "SELECT 'r' || r_regionkey::VARCHAR || '/name.txt' AS path, strlen(r_name)::BIGINT AS bytes_written, r_name AS content FROM region")
+def files_written(df):
+    """One file for each row, then found by a glob and read back."""
+    folder = storage.new_folder(df.sparkSession, "files")
+    done = files.write_files(df.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string"), F.lit("/name.txt")).alias("path"), "r_name"), "path", "r_name", folder)
+    back = files.read_files(df.sparkSession, f"{folder}/*/*.txt").select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("path"), "content")
+    return done.join(back, "path").select("path", "bytes_written", "content")
+
+
+@_query("nation", "SELECT n_nationkey, n_name FROM nation")
+def resumed_snapshot(df):
+    """A node's output is kept for its run; the second ask reads it."""
+    folder = storage.new_folder(df.sparkSession, "run")
+    state.snapshot(df.select("n_nationkey", "n_name"), folder, "run-1", "load")
+    return state.snapshot(df.select("n_nationkey", "n_name").where("false"), folder, "run-1", "load")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -31,10 +31,25 @@ def retry_status(status: Column, listed: list[int], server_errors: bool = True)
     return hit | status.between(500, 599) if server_errors else hit
 
 
-def caught(value: Column, message: str) -> dict[str, Column]:
-    """Columns for a fallible value (a try_ expression): the value, and what is known of its failure."""
-    failed = value.isNull()
-    return {"value": value, "_caught_error": failed, "error": F.when(failed, F.lit(message)), "recoverable": F.when(failed, F.lit(True))}
+def caught(value: Column, source: Column, message: str, error_type: str = "failed", recoverable: bool = True) -> dict[str, Column]:
+    """Columns for a fallible value (a try_ expression of source): the value, and what is known of its failure. A null source is no failure."""
+    failed = value.isNull() & source.isNotNull()
+    say = lambda x: F.when(failed, F.lit(x))
+    return {"value": value, "_caught_error": failed, "error": say(message), "error_type": say(error_type), "recoverable": say(recoverable)}
+
+
+def fallback(primary: Column, *others: Column) -> Column:
+    """The first of several fallible values that came out."""
+    return F.coalesce(primary, *others)
+
+
+def on_failure(action: Callable[[], R], hook: Callable[[Exception], None]) -> R:
+    """Runs a Spark action; if it fails, the hook (a second plan) runs with the error, which is then raised."""
+    try:
+        return action()
+    except Exception as e:
+        hook(e)
+        raise
 
 
 def with_retry(action: Callable[[], R], attempts: int = 3, wait_ms: Callable[[int], int] = lambda n: min(100 * 2**n, 60_000), retry_on: tuple = (Exception,)) -> R:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def passthrough(df: DataFrame) -> DataFrame:
@@ -48,8 +49,22 @@ def equals_guard(column: Column, word: str, negate: bool = False) -> Column:
 
 
 def decide(df: DataFrame, label: Column, out: str = "_decision") -> DataFrame:
-    """Adds the branch label; booleans become yes and no, null no."""
-    return df.withColumn(out, F.coalesce(F.when(label.cast("string") == "true", "yes").when(label.cast("string") == "false", "no").otherwise(label.cast("string")), F.lit("no")))
+    """Adds the branch label, by the guard's type: booleans become yes and no, whole numbers yes unless 0, texts are
+    labels as they are, anything else that is not null yes; null is no."""
+    kind = df.select(label).schema[0].dataType
+    if isinstance(kind, T.StringType):
+        word = label
+    else:
+        true = label if isinstance(kind, T.BooleanType) else label != 0 if isinstance(kind, T.IntegralType) else label.isNotNull()
+        word = F.when(true, "yes")
+    return df.withColumn(out, F.coalesce(word, F.lit("no")))
+
+
+def model_guard(answer: Column, fallback: Column) -> Column:
+    """A model's answer as a guard: yes/true and no/false, other words as labels; without an answer the fallback's label (a text) decides."""
+    word = F.lower(F.trim(answer))
+    said = F.when(word.isin("yes", "true"), "yes").when(word.isin("no", "false"), "no").when(word != "", F.trim(answer))
+    return F.coalesce(said, fallback)
 
 
 def branch(df: DataFrame, labels: list[str], decision: str = "_decision") -> dict[str, DataFrame]:
@@ -61,6 +76,18 @@ def branch(df: DataFrame, labels: list[str], decision: str = "_decision") -> dic
     return out
 
 
+def branch_columns(df: DataFrame, label: Column, cases: dict[str, dict[str, Column]]) -> DataFrame:
+    """Branches that only add columns, converged again: one scan for all labels. ``else`` takes the other labels; rows that no case takes go,
+    and a column that a case lacks is null there."""
+    d = decide(df, label)
+    named = [k for k in cases if k != "else"]
+    takes = {k: F.col("_decision") == k for k in named} | ({"else": ~F.col("_decision").isin(named) if named else F.lit(True)} if "else" in cases else {})
+    kept = d if "else" in cases else d.where(F.col("_decision").isin(named))
+    names = dict.fromkeys(n for columns in cases.values() for n in columns)
+    made = {n: F.coalesce(*[F.when(takes[k], columns[n]) for k, columns in cases.items() if n in columns]) for n in names}
+    return kept.withColumns(made).drop("_decision")
+
+
 def converge(parts: list[DataFrame]) -> DataFrame:
     """The rows of disjoint branches together; missing columns are null."""
     out = parts[0]
@@ -98,10 +125,32 @@ def observed(df: DataFrame, name: str) -> DataFrame:
     return df.observe(name, F.count(F.lit(1)).alias("rows"))
 
 
-def error_simplify(error: Column) -> Column:
-    """Only the message of an error struct."""
-    return error.getField("message")
-
-
-def error_enrich(df: DataFrame, node: str) -> DataFrame:
-    return df.withColumn("_error_node", F.lit(node))
+def error_transform(df: DataFrame, transform: str, node: str = "", field_map: dict[str, str] | None = None) -> DataFrame:
+    """simplify: error is the error_type alone, error_type and recoverable go. enrich: adds _error_node. Then columns are renamed."""
+    out = df
+    if transform == "simplify":
+        out = df.drop("error")
+        out = out.withColumnRenamed("error_type", "error").drop("recoverable")
+    elif transform == "enrich":
+        out = df.withColumn("_error_node", F.lit(node))
+    return out.withColumnsRenamed(field_map or {})
+
+
+def select_path(views: dict[str, Column], path: str, keys: str | None = None, join: str | None = None) -> Column:
+    """The value at a dotted path as JSON text (texts bare): the first segment names a view (inputs, results, constants: JSON texts), or
+    output_dir, a text. keys takes that field of each object of an array, texts only, as a JSON array or joined.
+    What does not resolve is the path itself."""
+    root, _, rest = path.partition(".")
+    if root not in views:
+        return F.lit(path)
+    if root == "output_dir":
+        return F.coalesce(views[root], F.lit(path))
+    steps = "".join(f"[{x}]" if x.isdigit() else f"['{x}']" for x in rest.split(".") if x)
+    found = F.get_json_object(views[root], f"${steps}")
+    if keys is not None:
+        value = lambda x: F.variant_get(F.try_parse_json(x), f"$.{keys}", "variant")
+        items = F.filter(F.from_json(found, "array<string>"), lambda x: F.coalesce(F.schema_of_variant(value(x)) == "STRING", F.lit(False)))
+        texts = F.transform(items, lambda x: F.get_json_object(x, f"$.{keys}"))
+        projected = F.array_join(texts, join) if join is not None else F.to_json(texts)
+        found = F.when(found.startswith("["), projected).otherwise(found)
+    return F.coalesce(found, F.lit(path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,23 @@ def unanswerable(pending: DataFrame, responses: DataFrame, token: str) -> DataFr
     return responses.join(pending, token, "left_anti")
 
 
+def submit(pending: DataFrame, responses: DataFrame, token: str) -> DataFrame:
+    """resume, all or nothing: a single response to a row that does not wait makes the whole batch an error when it is computed."""
+    wrong = unanswerable(pending, responses, token).agg(F.count(F.lit(1)).alias("_wrong"))
+    n = wrong.scalar()
+    said = F.raise_error(F.concat(n.cast("string"), F.lit(" responses answer no waiting row"))).cast("boolean")
+    return resume(pending, responses, token).where(F.when(n > 0, said).otherwise(True))
+
+
+def layered(*layers: DataFrame) -> DataFrame:
+    """(key, value) of run inputs: config, then saved state, then arguments; of equal keys the later layer's value."""
+    ranked = [d.select("key", F.col("value"), F.lit(i).alias("_layer")) for i, d in enumerate(layers)]
+    out = ranked[0]
+    for d in ranked[1:]:
+        out = out.union(d)
+    return out.groupBy("key").agg(F.max_by("value", "_layer").alias("value"))
+
+
 def memo(calls: DataFrame, cache: DataFrame, keys: list[str], now: Column, ttl_s: int) -> tuple[DataFrame, DataFrame]:
     """(answered from the cache, still to do); a cached row (key, at, response) lives so many seconds."""
     keyed = calls.withColumn("_key", F.sha2(F.to_json(F.struct(*sorted(keys))), 256))
@@ -39,10 +58,12 @@ def memo(calls: DataFrame, cache: DataFrame, keys: list[str], now: Column, ttl_s
     return keyed.join(live, "_key"), keyed.join(live, "_key", "left_anti")
 
 
-def snapshot(df: DataFrame, folder: str, node: str) -> DataFrame:
-    """A node's output, computed unless the folder has it complete (Spark marks that), and read back."""
+def snapshot(df: DataFrame, folder: str, run: str, node: str) -> DataFrame:
+    """A node's output in a run, computed unless the folder has it complete (Spark marks that), and read back. Another run
+    name, or another schema, is another output."""
     spark: SparkSession = df.sparkSession
-    path = f"{folder.rstrip('/')}/{node}"
+    shape = hashlib.sha256(df.schema.json().encode()).hexdigest()[:16]
+    path = f"{folder.rstrip('/')}/{run}/{node}-{shape}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         df.write.mode("overwrite").parquet(path)

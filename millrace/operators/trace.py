@@ -30,5 +30,17 @@ def scoped(records: DataFrame, ancestors: DataFrame, run: str, node: str) -> Dat
     return kept.withColumn("completion_order", F.row_number().over(Window.partitionBy(run).orderBy("completion_order")) - 1)
 
 
+def only(records: DataFrame, what: str) -> DataFrame:
+    """Records that failed, completed, were cancelled or were retried."""
+    return records.where("retries > 0") if what == "retried" else records.where(F.col("state") == what)
+
+
+def run_record(records: DataFrame, run: str, path: str) -> None:
+    """Appends one JSON line for each run to a folder: how many nodes ended how, and the trace in order of completion."""
+    steps = F.array_sort(F.collect_list(F.struct("completion_order", *[c for c in records.columns if c not in (run, "completion_order")])))
+    counts = [F.count_if(F.col("state") == s).alias(s) for s in TERMINAL]
+    records.groupBy(run).agg(*counts, steps.alias("trace")).write.mode("append").json(path)
+
+
 def since(events: DataFrame, seq: str, after: int) -> DataFrame:
     return events.where(F.col(seq) > after)

@@ -30,6 +30,7 @@ class Flow:
         self.steps: dict[str, Step] = {}
         self.guards: dict[str, Column] = {}
         self.edges: list[tuple[str, str, str | None]] = []
+        self.ports: dict[tuple[str, str, str | None], dict[str, str]] = {}
         self.inactive: set[str] = set()
 
     def node(self, name: str, step: Step | None = None, guard: Column | None = None, active: bool = True) -> Flow:
@@ -41,10 +42,13 @@ class Flow:
             self.inactive.add(name)
         return self
 
-    def edge(self, src: str, dst: str, label: str | None = None) -> Flow:
+    def edge(self, src: str, dst: str, label: str | None = None, ports: dict[str, str] | None = None) -> Flow:
+        """ports: the columns that go along and their names at the target; without it all go under their own names."""
         if (src, dst, label) in self.edges:
             raise FlowError([f"edge {src} -> {dst} is there already"])
         self.edges.append((src, dst, label))
+        if ports:
+            self.ports[src, dst, label] = ports
         return self
 
     def waves(self) -> list[list[str]]:
@@ -62,8 +66,9 @@ class Flow:
                 del left[n]
         return [[n for n in self.steps if level[n] == k] for k in range(max(level.values(), default=-1) + 1)]
 
-    def plan(self, **sources: DataFrame) -> dict[str, DataFrame]:
-        """The output of every node, nothing computed. A source is handed to the node of its name."""
+    def plan(self, only_reached: bool = False, **sources: DataFrame) -> dict[str, DataFrame]:
+        """The output of every node, nothing computed. A source is handed to the node of its name, which may be any node:
+        with only_reached, nodes that no source reaches are left out."""
         out: dict[str, DataFrame] = {}
         for wave in self.waves():
             for n in wave:
@@ -71,9 +76,15 @@ class Flow:
                 for a, b, label in self.edges:
                     if b == n:
                         labels = [x for s, _, x in self.edges if s == a and x]
-                        parts.append(self._taken(out[a], a, label, labels).drop("_decision") if label else out[a].drop("_decision"))
-                if not parts:
+                        if a not in out:
+                            continue
+                        part = self._taken(out[a], a, label, labels).drop("_decision") if label else out[a].drop("_decision")
+                        named = self.ports.get((a, b, label))
+                        parts.append(part.select(*[F.col(x).alias(y) for x, y in named.items()]) if named else part)
+                if not parts and not only_reached:
                     raise FlowError([f"{n} has neither a source nor an edge"])
+                if not parts:
+                    continue
                 got = rows.converge(parts)
                 done = got if n in self.inactive else self.steps[n](got)
                 out[n] = rows.decide(done, self.guards[n]) if n in self.guards else done
@@ -86,6 +97,20 @@ class Flow:
             return df.where(guard if label == "yes" else ~F.coalesce(guard, F.lit(False)))
         return rows.branch(df, labels)[label]
 
+    def invoke(self, inputs: DataFrame | dict[str, DataFrame], token: str) -> DataFrame:
+        """The flow called like a function: one table goes to its only source node, several to the source nodes of their names;
+        the outputs of its sinks stand side by side for each token."""
+        sources = [n for n in self.steps if all(b != n for _, b, _ in self.edges)]
+        sinks = [n for n in self.steps if all(a != n for a, _, _ in self.edges)]
+        if isinstance(inputs, DataFrame):
+            if len(sources) != 1:
+                raise FlowError([f"{self.name} has {len(sources)} source nodes, so inputs need names"])
+            inputs = {sources[0]: inputs}
+        if lost := sorted(set(inputs) - set(sources)):
+            raise FlowError([f"{self.name} has no source nodes {lost}"])
+        out = self.plan(**inputs)
+        return rows.fan_in([out[n] for n in sinks], token)
+
     def as_step(self, entry: str, exit_: str) -> Step:
         """The flow as a node of another flow."""
         return lambda df: self.plan(**{entry: df})[exit_]

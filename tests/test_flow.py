@@ -82,14 +82,18 @@ def test_closure_of_a_cycle_and_of_nothing(spark):
 
 
 def test_loop_stops_at_the_cap(spark):
-    out = compose.loop_until_dry(spark.range(1).toDF("k"), lambda d: d.select((F.col("k") + 1).alias("k")), "k", max_rounds=3)
-    assert sorted(r.k for r in out.collect()) == [0, 1, 2, 3]
+    step = lambda d: d.select((F.col("k") + 1).alias("k"))
+    with pytest.raises(RuntimeError):
+        compose.loop_until_dry(spark.range(1).toDF("k"), step, "k", max_rounds=3)
+    out = compose.loop(lambda seen, i: spark.range(i, i + 1).toDF("k"), max_iterations=3)
+    assert (out.stopped_by, out.iterations, out.count, out.dry_rounds) == ("max_iterations", 3, 3, 0)
 
 
 def test_snapshot_is_not_computed_twice(spark, tmp_path):
-    a = state.snapshot(spark.range(3), str(tmp_path), "n")
-    b = state.snapshot(spark.range(99), str(tmp_path), "n")
+    a = state.snapshot(spark.range(3), str(tmp_path), "run", "n")
+    b = state.snapshot(spark.range(99), str(tmp_path), "run", "n")
     assert a.count() == b.count() == 3
+    assert state.snapshot(spark.range(99), str(tmp_path), "next run", "n").count() == 99
 
 
 def test_retry_and_containment():
@@ -112,3 +116,71 @@ def test_files_round_trip(spark, tmp_path):
     found = files.glob(spark, str(tmp_path / "o"), "*.txt")
     assert found.count() >= 1
     assert "x\n" in [r.content for r in files.read_files(spark, str(tmp_path / "o")).collect()]
+
+
+def test_empty_lists_failed_items_and_invalid_batches(spark):
+    from pyspark.errors import PySparkException
+
+    from millrace.operators import reduce
+
+    d = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None)], "t int, items array<int>")
+    each = compose.map_items(d, F.col("items"), lambda x: x.withColumn("bad", F.col("item") > 1))
+    assert sorted((r.t, r.results, r["count"], r.errors) for r in reduce.collected(each, ["t"], "pos", "item", "bad").collect()) == [(1, [1], 1, 1), (2, [], 0, 0), (3, [], 0, 0)]
+    with pytest.raises(PySparkException):
+        reduce.collected(each, ["t"], "pos", "item", "bad", fail=True).collect()
+    pending, good, bad = (spark.createDataFrame(x, "t int, r string").select(*c) for x, c in (([(1, "")], ["t"]), ([(1, "a")], ["t", "r"]), ([(1, "a"), (9, "b")], ["t", "r"])))
+    assert [tuple(r) for r in state.submit(pending, good, "t").collect()] == [(1, "a")]
+    with pytest.raises(PySparkException):
+        state.submit(pending, bad, "t").collect()
+
+
+def test_guards_by_type(spark):
+    d = spark.createDataFrame([(1, 5, "true", True, 0.0), (2, 0, "", None, None), (3, None, None, False, 1.5)], "k int, i int, t string, b boolean, x double")
+    got = {c: [r["_decision"] for r in rows.decide(d, F.col(c)).orderBy("k").collect()] for c in "itbx"}
+    assert got == {"i": ["yes", "no", "no"], "t": ["true", "", "no"], "b": ["yes", "no", "no"], "x": ["yes", "no", "yes"]}
+
+
+def test_json_query_and_schema_errors(spark):
+    from millrace.functions import text as tx
+
+    body = '{"user": {"email": "a@b"}, "items": [{"name": "x", "done": true, "p": 2}, {"name": "y", "done": false, "p": 10}, {"name": 3}], "n": 1.50}'
+    d = spark.createDataFrame([(body,)], "body string")
+    ask = lambda q: d.select(tx.json_query(F.col("body"), q).alias("v")).first().v
+    assert [ask(q) for q in ("user.email", "items[?done].name", "items[?p >= `10`].name", "items[*].name", "items[1].p", "items[?name == 'x'].p", "none.at.all", "n")] == ['"a@b"', '["x"]', '["y"]', '["x","y",3]', "10", "[2]", None, "1.5"]
+    with pytest.raises(tx.UnsupportedQuery):
+        tx.json_query(F.col("body"), "length(items)")
+    with pytest.raises(Exception, match="MALFORMED"):
+        spark.createDataFrame([("{no",)], "body string").select(tx.json_query(F.col("body"), "a")).collect()
+    doc = {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "integer", "minimum": 3}, "c": {"type": "array", "maxItems": 1}, "s": {"pattern": "^x", "minLength": 3}}}
+    errors = spark.createDataFrame([('{"a": 1, "c": [1, 2], "s": "y"}',), ('{"a": "t", "b": 0}',), ("[]",), ("{no",), (None,)], "body string").select(tx.schema_errors(F.col("body"), doc).alias("e")).collect()
+    assert [[(x.instance_path, x.schema_path) for x in r.e] for r in errors] == [[("", "/required"), ("/a", "/properties/a/minimum"), ("/c", "/properties/c/maxItems"), ("/s", "/properties/s/pattern"), ("/s", "/properties/s/minLength")], [("/a", "/properties/a/type")], [("", "/type")], [("", "/type")], []]
+
+
+def test_cycles_in_graphs(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (4, 5), (5, 4), (6, 6), (7, 8), (8, 9), (9, 7), (9, 8), (1, 10)], "src long, dst long")
+    assert {r.id: r.component for r in graph.cycle_members(e).collect()} == {2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 7}
+    nodes = spark.range(1, 12).toDF("id")
+    assert {r.id: r.wave for r in graph.waves(nodes, e).collect()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 0, 7: 0, 8: 1, 9: 2, 10: 1, 11: 0}
+
+
+def test_listened_lines_and_run_records(spark, tmp_path):
+    from millrace.operators import trace
+    from millrace.streaming import events as streams
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"k": 1}\nnoise\n  {"k": 2}\n')
+    got = []
+    streams.run_batches(streams.listen(spark, str(tmp_path / "in"), "k int"), lambda b, n: got.extend(r.k for r in b.collect()), str(tmp_path / "c"))
+    assert sorted(got) == [1, 2]
+    t = spark.createDataFrame([("r", "a", "completed", 0, 0), ("r", "b", "failed", 2, 1)], "run string, node string, state string, retries int, completion_order int")
+    trace.run_record(t, "run", str(tmp_path / "runs"))
+    trace.run_record(t, "run", str(tmp_path / "runs"))
+    back = spark.read.json(str(tmp_path / "runs")).collect()
+    assert len(back) == 2 and back[0].failed == back[0].completed == 1 and [x.node for x in back[0].trace] == ["a", "b"]
+
+
+def test_failure_hook(spark):
+    seen = []
+    with pytest.raises(ZeroDivisionError):
+        reliability.on_failure(lambda: 1 // 0, seen.append)
+    assert len(seen) == 1 and reliability.on_failure(lambda: 3, seen.append) == 3
