@@ -39,7 +39,7 @@ _LETTER[:128] = 32
 _LETTER[97:123] = np.arange(97, 123)
 _SHORTEST, _LONGEST = 3, 12  #: powers of two: text lengths that have limits of their own
 _LOW, _SLACK, _FEW = 0.02, 0.8, 20
-_SALTS = 64
+_SALTS = 8
 
 
 @dataclass
