@@ -7,9 +7,10 @@ firsts). A second pass lets only keys that the second filter holds (suspects) in
 128-bit cryptographic digests; counting their documents confirms the repeats exactly, whatever the filters
 let through, and the document with the largest id keeps the line. A third pass drops the others.
 
-The filters follow the input's bytes up to ``MOST_BITS`` each (32 MB, what a worker holds at once). Beyond about
-4 GB of lines more of them pass as suspects: at worst each line's digest and id (24 bytes) are shuffled once.
-That changes no result. A line that very many documents share is counted and confirmed in ``SALTS`` tasks.
+The filters follow the input's bytes up to ``most_bits`` each (32 MB unless given: what a worker holds at once). Where
+there are more than 16 bytes of text for each bit, more lines pass as suspects: at worst each line's digest and id (24 bytes) are shuffled once.
+That changes no result, as suspects are counted exactly. Filters spread over the cluster would save nothing there:
+each line would have to travel to its part of the filter to be asked for. A line that very many documents share is counted and confirmed in ``SALTS`` tasks.
 
 Results. A null or empty text is one empty line. Keys shorter than ``least_chars`` code points always
 stay. Rows that share an id are one document. A null id is one document that comes before all others.
@@ -109,16 +110,16 @@ def seen_twice(texts: DataFrame, least_chars: int, bits: int) -> np.ndarray:
     return out
 
 
-def filter_bits(n_bytes: int) -> int:
+def filter_bits(n_bytes: int, most_bits: int = MOST_BITS) -> int:
     """A power of two near n_bytes / 16 between the bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, (n_bytes // 16).bit_length())))
+    return min(most_bits, max(LEAST_BITS, 1 << max(0, (n_bytes // 16).bit_length())))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """docs with its text column rewritten, and n_lines (before), n_dropped."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, most_bits: int = MOST_BITS) -> DataFrame:
+    """docs with its text column rewritten, and n_lines (before), n_dropped. most_bits: a power of two, the size of either filter."""
     ident, text = F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string")
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = filter_bits(n_bytes)
+    bits = filter_bits(n_bytes, most_bits)
     twice = seen_twice(docs.select(text.alias("text")), least_chars, bits)
 
     def suspects(batches):

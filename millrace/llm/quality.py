@@ -3,13 +3,12 @@
 ``measures`` are columns over a text (lengths, symbols, stop words, lines, repeats); ``RULES`` says between
 which bounds a ratio of two measures must lie; ``judge`` turns the table into one boolean projection.
 
-Repeats are found inside a row, with no shuffle: a map from each 3-word window's 64-bit hash to its position
-keeps the last position of each window, one over the reversed window list the first; positions that
-are not both stand for repeats, and each covers its three words. The maps need
-``spark.sql.mapKeyDedupPolicy`` to be LAST_WIN, which ``measure`` sets for the session.
+Repeats are found inside a row, with no shuffle: the 3-word windows' 64-bit hashes are sorted with their
+positions; a window whose neighbour in that order has its hash is a repeat, and each covers its three words.
 
-Results. A null text counts as empty: all measures are 0, base_failed. Other columns pass through and a
-clashing one gives way to the result.
+Results. A null or empty text: all measures are 0, base_failed. Very long texts count whole. Each row has its own
+result, whatever other rows hold, null and repeated ids included; an empty table gives no rows. Other columns pass
+through and a clashing one gives way to the result.
 """
 
 from __future__ import annotations
@@ -51,7 +50,6 @@ RULES = (
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, n_lines (lines with a word)."""
-    docs.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
     keep = [c for c in docs.columns if c.lower() not in made]
     t, w, ln, h, a, b = fresh(docs.columns + list(made), "__t", "__w", "__ln", "__h", "__a", "__b")
@@ -80,10 +78,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.select(*[F.col(quoted(c)) for c in keep], *rest, *[v.alias(k) for k, v in counts.items()], hashes.alias(h))
     rest += counts
     at = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
-    step = step.select(*[F.col(quoted(c)) for c in keep], *rest, h, at.alias(a))
-    last = F.map_values(F.map_from_arrays(h, a))
-    first = F.map_values(F.map_from_arrays(F.reverse(h), F.reverse(a)))
-    again = F.sort_array(F.array_union(F.array_except(a, last), F.array_except(a, first)))
+    placed = F.sort_array(F.zip_with(h, at, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    step = step.select(*[F.col(quoted(c)) for c in keep], *rest, placed.alias(a))
+    like = lambda x, k: F.coalesce(x.getField("h") == F.get(a, k).getField("h"), F.lit(False))
+    alike = F.filter(a, lambda x, k: like(x, k + 1) | like(x, k - 1))
+    again = F.sort_array(F.transform(alike, lambda x: x.getField("i")))
     step = step.select(*[F.col(quoted(c)) for c in keep], *rest, again.alias(b))
     gaps = F.transform(b, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(b, i + 1) - x, F.lit(3))))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)

@@ -145,6 +145,8 @@ def test_line_dedup(docs, empty):
     out = linededup.dedup_lines(docs)
     assert sorted((r.doc_id, r.text) for r in out.collect()) == want
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    full = linededup.dedup_lines(docs, most_bits=1 << 10)  # filters that let nearly all lines through
+    assert sorted((r.doc_id, r.text) for r in full.collect()) == want
     assert linededup.dedup_lines(empty).count() == 0
 
 
@@ -165,8 +167,13 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_quality(docs, empty):
-    for r in quality.quality(docs).collect():
+def test_quality(spark, docs, empty):
+    policy = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    found = quality.quality(docs.withColumn("__a", F.lit(1)).withColumn("kept", F.lit("mine")))
+    assert found.count() == len(rows()) and found.schema["kept"].dataType.typeName() == "boolean"
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == policy
+    assert {tuple(r)[1:] for r in found.where("doc_id < 3").select("doc_id", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()} == {(0, 0, 0, 0, True, False)}
+    for r in found.collect():
         text = next(t for i, t, *_ in rows() if i == r.doc_id and len(words(t)) == r.n_words)
         w = words(text)
         n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
