@@ -19,9 +19,9 @@
 
 Results. A null or empty text, or one of spaces, has an empty set: linked with nothing. A text with
 fewer words than a window is one shingle. Rows that share an id are one document: links of any of its
-texts are its links. A null id takes part in nothing: component null, kept. An empty table gives no
-rows. Other columns are left alone and stay, whatever their names (the result columns win: a clashing
-column of the input is replaced).
+texts are its links, and all its rows stay or go. A null id takes part in nothing: component null, kept. An
+empty table gives no rows. ``near_duplicates`` returns its four columns alone, one row for each row of docs;
+``drop_near_duplicates`` keeps all columns of docs, whatever their names. Ids must be whole numbers.
 
 Misses: sets no larger than the sketch are handled exactly; for larger ones at the very threshold, the
 chance that a pair shares fewer than ``c`` values is below 1e-6.
