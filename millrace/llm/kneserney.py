@@ -1,12 +1,13 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, sorted hash arrays in files, memory-mapped.
+"""Interpolated modified Kneser-Ney model of any order: counted in Spark, sorted hash arrays in files, memory-mapped.
 
-Counting: each task aggregates the (previous, next) pairs of its texts; Spark shuffles them by a part number
-that comes from the previous word's hash (from the pair's where the previous word is very frequent), and each part
-writes its pairs as one sorted array. There is a part for every ``_PART_BYTES`` of text at least. The
-same pass gives each context's total and how many next words follow it once, twice and more often;
-grouping by the next word gives continuation counts. Discounts come from counts of counts over all pairs.
-The highest order uses raw counts, the lower one continuation counts with its own discounts, down to
-the uniform distribution over the vocabulary and one unknown word.
+Counting: a pair is a context (the ``order - 1`` tokens before, from as many beginnings on) and its next token. Each task
+aggregates the pairs of its texts; Spark shuffles them by a part number that comes from the context's hash (from
+the pair's where the context is very frequent), and each part writes its pairs as one sorted array. There is a part for
+every ``_PART_BYTES`` of text at least. The same pass gives each context's total and how many next tokens follow it
+once, twice and more often, and hands on the pairs of the next lower order: the context without its oldest token, counted
+by how many different tokens stand before it (continuation counts). They are shuffled and merged in the same way, down to single
+tokens. Each order has its own discounts, from its counts of counts; the highest uses raw counts, all lower ones
+continuation counts, down to the uniform distribution over the vocabulary and one unknown word.
 
 Words are 64-bit hashes; files are numpy arrays sorted by hash, written under a temporary name and then
 moved, so that repeated tasks are harmless. The shared folder must be mounted as a file system, as it is memory-mapped.
@@ -46,9 +47,9 @@ class Model:
     parts: int
     tokens: int  #: N, training tokens
     vocabulary: int  #: V, distinct training tokens
-    discounts: tuple[float, float, float]
-    lower_rest: float  #: probability of any single word at the lower order before its own count
-    hot: tuple[int, ...] = ()  #: contexts whose pairs are dealt to all parts
+    discounts: tuple[tuple[float, float, float], ...]  #: of the second order, the third and so on
+    lower_rest: float  #: probability of any single word at the lowest order before its own count
+    hot: tuple[tuple[int, ...], ...]  #: by order, contexts whose pairs are dealt to all parts
 
 
 def _local(folder: str) -> str:
@@ -75,6 +76,17 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, before, starts
 
 
+def _contexts(before: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of the last one, two, ... order - 1 tokens before each token."""
+    out = [before]
+    oldest = before
+    for _ in range(order - 2):
+        oldest = np.r_[BOS, oldest[:-1]]
+        oldest[starts] = BOS
+        out.append(_pair(oldest, out[-1]))
+    return out
+
+
 def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return bytescan.mix(u * np.uint64(0x9E3779B97F4A7C15) + v)
 
@@ -96,13 +108,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _summed(u, v, n):
-    """Distinct pairs in the order of their keys, with summed counts."""
+def _summed(u, v, n, chain):
+    """Distinct pairs in the order of their keys, with summed counts; chain: a row of shorter contexts for each pair."""
     key = _pair(u, v)
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return key[first], u[order][first], v[order][first], np.add.reduceat(n[order], first) if len(key) else n
+    some = order[first]
+    return key[first], u[some], v[some], np.add.reduceat(n[order], first) if len(key) else n, chain[some]
+
+
+def _dealt(key, u, v, n, chain, parts: int, hot: tuple[int, ...]):
+    """For each part its number and, as bytes, its pairs: each context once with its shorter ones, then next tokens and counts."""
+    where = _pair_part(u, key, parts, hot)
+    order = np.lexsort((u, where))
+    u, v, n, chain, where = u[order], v[order], n[order], chain[order], where[order]
+    edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True]) if len(where) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        first = np.flatnonzero(np.r_[True, u[a + 1 : b] != u[a : b - 1]])
+        cols = (u[a:b][first], np.diff(np.r_[first, b - a]).astype(np.uint32), chain[a:b][first], v[a:b], n[a:b].astype(np.uint32))
+        yield [pa.array(where[a : a + 1]), *[pa.array([c.tobytes()], pa.binary()) for c in cols]]
 
 
 def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
@@ -130,33 +155,35 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) -> Model:
-    """Learns from all rows of docs."""
+_BLOCKS = "part int, u binary, runs binary, chain binary, v binary, n binary"
+_SUMS = ["h", "c", "kinds", "total", "one", "two", "more", "n1", "n2", "n3", "n4"]
+
+
+def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, order: int = 2) -> Model:
+    """Learns from all rows of docs; order is the length of the longest n-grams, 2 at least."""
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     spark = docs.sparkSession
     folder = _local(new_folder(spark, "ngrams"))
     texts = docs.select(F.col(quoted(text_col)).cast("string").alias("text"))
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // _PART_BYTES, 1)
-    hot = _hot_contexts(texts, parts)
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes * (order - 1) // _PART_BYTES, 1)
+    hot = _hot_contexts(texts, parts, order)
 
     def count(batches):
         held, size = [], 0
 
         def out():
-            key, u, v, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            where = _pair_part(u, key, parts, hot)
-            order = np.lexsort((u, where))
-            u, v, n, where = u[order], v[order], n[order], where[order]
-            edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # each context once, then its pairs
-                first = np.flatnonzero(np.r_[True, u[a + 1 : b] != u[a : b - 1]])
-                cols = (u[a:b][first], np.diff(np.r_[first, b - a]).astype(np.uint32), v[a:b], n[a:b].astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array(where[a : a + 1]), *[pa.array([c.tobytes()], pa.binary()) for c in cols]], names=["part", "u", "runs", "v", "n"])
+            pairs = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for cols in _dealt(*pairs, parts, hot[-1]):
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "u", "runs", "chain", "v", "n"])
 
         for batch in batches:
             for _, _, data, offsets in bytescan.text_blocks(batch.column(0)):
-                token, before, _ = _tokens(data, offsets)
-                held.append(_summed(before, token, np.ones(len(token), np.int64))[1:])
+                token, before, starts = _tokens(data, offsets)
+                *shorter, context = _contexts(before, starts, order)
+                chain = np.stack(shorter[::-1], 1) if shorter else np.zeros((len(token), 0), np.uint64)
+                held.append(_summed(context, token, np.ones(len(token), np.int64), chain)[1:])
                 size += len(held[-1][0])
                 if size > 2 << 20:
                     yield from out()
@@ -164,89 +191,129 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
         if held:
             yield from out()
 
-    def merge(batches):
-        by: dict[int, list] = {}
-        for batch in batches:
-            for k, u, runs, v, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                contexts = np.repeat(np.frombuffer(u, np.uint64), np.frombuffer(runs, np.uint32))
-                by.setdefault(k, []).append((contexts, np.frombuffer(v, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64)))
-        for k in sorted(by):
-            key, u, v, n = _summed(*(np.concatenate(x) for x in zip(*by.pop(k), strict=True)))
-            _save(folder, f"pair-{k}", key=key, n=n.astype(np.min_scalar_type(int(n.max()))))
-            some = [int((n == i).sum()) for i in (1, 2, 3, 4)]
-            for what, word in ((0, u), (1, v)):  # both are summed over parts later
-                order = np.argsort(word)
-                w, c = word[order], n[order]
-                first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                sums = [np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c > 2)]
-                size = np.diff(np.r_[first, len(w)])
-                cols = [np.zeros(len(first), np.int64)] * 2 + sums if what == 0 else [sums[0], size] + [np.zeros(len(first), np.int64)] * 4
-                for at in range(0, len(first), 1 << 18):
-                    s = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(w[first])[s]), *[pa.array(x[s].astype(np.int64)) for x in cols], *[pa.nulls(len(w[first][s]), pa.int64())] * 4], names=names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 7 + [pa.array([x], pa.int64()) for x in some], names=names)
-
-    names = ["h", "c", "kinds", "total", "one", "two", "more", "n1", "n2", "n3", "n4"]
-    pairs = texts.mapInArrow(count, "part int, u binary, runs binary, v binary, n binary").repartition(parts, "part")
-    rows = table(pairs.mapInArrow(merge, ", ".join(f"{x} long" for x in names)), "word-counts")
-    high = rows.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in names[-4:]]).first()
-    words = rows.where("h IS NOT NULL").groupBy("h").agg(*[F.sum(x).alias(x) for x in names[1:7]])
-    stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("kinds"), F.lit(0)), *[F.count_if(F.col("kinds") == i) for i in (1, 2, 3, 4)], F.count_if(F.col("kinds") > 2)).first()
+    blocks = texts.mapInArrow(count, _BLOCKS)
+    counted, discounts = [], []
+    for level in range(order, 1, -1):
+        kept = ", ".join(f"{x} long" for x in _SUMS) + (f", level int, {_BLOCKS}" if level > 2 else "")
+        rows = table(blocks.repartition(parts, "part").mapInArrow(_merge(folder, level, order, parts, hot), kept), "word-counts")
+        discounts.append(_discounts(list(rows.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in _SUMS[-4:]]).first())))
+        if level > 2:
+            blocks = rows.where("part IS NOT NULL").select("part", "u", "runs", "chain", "v", "n")
+        counted.append(rows.where("h IS NOT NULL").select(*_SUMS[:7], F.col("level") if level > 2 else F.lit(2).alias("level")))
+    d = tuple(discounts[::-1])
+    sums = counted[0]
+    for more in counted[1:]:
+        sums = sums.union(more)
+    words = sums.groupBy("level", "h").agg(*[F.sum(x).alias(x) for x in _SUMS[1:7]])
+    low_kinds = [F.count_if(F.col("kinds") == i) for i in (1, 2, 3, 4)]
+    stats = words.where("level = 2").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("kinds"), F.lit(0)), *low_kinds, F.count_if(F.col("kinds") > 2)).first()
     n, size, types, low = stats[0], stats[1], stats[2], list(stats[3:7])
-    d, e = _discounts(list(high)), _discounts(low)
+    e = _discounts(low)
     rest = (e[0] * low[0] + e[1] * low[1] + e[2] * stats[7]) / types / (size + 1) if types else 1.0
 
     def finish(batches):
-        by: dict[int, list] = {}
+        by: dict[tuple[int, int], list] = {}
         for batch in batches:
-            cols = [np.asarray(c) for c in batch.columns]
+            level, *cols = (np.asarray(c) for c in batch.columns)
             p = _part(cols[0].view(np.uint64), parts)
-            for k in np.unique(p).tolist():
-                by.setdefault(k, []).append([c[p == k] for c in cols])
-        for k in sorted(by):
-            h, c, kinds, total, one, two, more = (np.concatenate(x) for x in zip(*by.pop(k), strict=True))
+            for at in np.unique(level).tolist():
+                for k in np.unique(p[level == at]).tolist():
+                    own = (level == at) & (p == k)
+                    by.setdefault((at, k), []).append([c[own] for c in cols])
+        for level, k in sorted(by):
+            h, c, kinds, total, one, two, more = (np.concatenate(x) for x in zip(*by.pop((level, k)), strict=True))
             h = h.view(np.uint64)
-            order = np.argsort(h)
-            p1 = np.maximum(kinds - np.choose(np.minimum(kinds, 3), (0.0, *e)), 0) / max(types, 1) + rest
-            gamma = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(total, 1), 1.0)
-            _save(folder, f"word-{k}", key=h[order], c=c[order], p=p1[order], total=total[order], gamma=gamma[order])
+            o = np.argsort(h)
+            x = d[level - 2]
+            gamma = np.where(total > 0, (x[0] * one + x[1] * two + x[2] * more) / np.maximum(total, 1), 1.0)
+            stands = o[total[o] > 0]
+            _save(folder, f"context-{level}-{k}", key=h[stands], total=total[stands], gamma=gamma[stands])
+            if level == 2:
+                o = o[kinds[o] > 0]
+                p1 = np.maximum(kinds - np.choose(np.minimum(kinds, 3), (0.0, *e)), 0) / max(types, 1) + rest
+                _save(folder, f"word-{k}", key=h[o], c=c[o], p=p1[o])
             yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], names=["n"])
 
-    placed = words.mapInArrow(_with_part(parts), "part int, " + ", ".join(f"{x} long" for x in names[:7])).repartition(parts, "part").drop("part")
+    placed = words.select("level", "h", *_SUMS[1:7]).mapInArrow(_with_part(parts), "part int, level int, " + ", ".join(f"{x} long" for x in _SUMS[:7])).repartition(parts, "part").drop("part")
     placed.mapInArrow(finish, "n long").agg(F.sum("n")).collect()
     return Model(folder, parts, int(n), int(size), d, float(rest), hot)
 
 
-def _hot_contexts(texts: DataFrame, parts: int) -> tuple[int, ...]:
-    """Contexts that hold more than half a part's mean share of the tokens, at most 2 * parts of them; found in every
+def _merge(folder: str, level: int, order: int, parts: int, hot: tuple[tuple[int, ...], ...]):
+    """Saves each part's pairs of an order. Rows: sums of contexts and of single words, the pairs of the next lower order in
+    blocks, and the order's counts of counts."""
+
+    def sums(at, words, **given):
+        for a in range(0, len(words), 1 << 18):
+            s = slice(a, a + (1 << 18))
+            cols = {"h": pa.array(_signed(words)[s])} | {x: pa.array(given[x][s].astype(np.int64)) if x in given else pa.array(np.zeros(len(words[s]), np.int64)) for x in _SUMS[1:7]}
+            yield row({**cols, "level": pa.array(np.full(len(words[s]), at, np.int32))}, len(words[s]))
+
+    def row(cols, n):
+        kinds = [(x, pa.int64()) for x in _SUMS] + ([("level", pa.int32()), ("part", pa.int32())] + [(x, pa.binary()) for x in ("u", "runs", "chain", "v", "n")] if level > 2 else [])
+        return pa.RecordBatch.from_arrays([cols[x] if x in cols else pa.nulls(n, kind) for x, kind in kinds], names=[x for x, _ in kinds])
+
+    def run(batches):
+        by: dict[int, list] = {}
+        for batch in batches:
+            for k, u, runs, chain, v, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                runs = np.frombuffer(runs, np.uint32)
+                shorter = np.frombuffer(chain, np.uint64).reshape(len(runs), level - 2)
+                by.setdefault(k, []).append((np.repeat(np.frombuffer(u, np.uint64), runs), np.frombuffer(v, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64), np.repeat(shorter, runs, 0)))
+        for k in sorted(by):
+            key, u, v, n, chain = _summed(*(np.concatenate(x) for x in zip(*by.pop(k), strict=True)))
+            _save(folder, f"pair-{level}-{k}", key=key, n=n.astype(np.min_scalar_type(int(n.max()))))
+            o = np.argsort(u)
+            c = n[o]
+            first = np.flatnonzero(np.r_[True, u[o][1:] != u[o][:-1]])
+            add = lambda x, at: np.add.reduceat(x.astype(np.int64), at)
+            yield from sums(level, u[o][first], total=add(c, first), one=add(c == 1, first), two=add(c == 2, first), more=add(c > 2, first))
+            if level in (2, order):
+                o = np.argsort(v)
+                first = np.flatnonzero(np.r_[True, v[o][1:] != v[o][:-1]])
+                own = {"c": add(n[o], first)} if level == order else {}
+                yield from sums(2, v[o][first], **own, **({"kinds": np.diff(np.r_[first, len(v)])} if level == 2 else {}))
+            if level > 2:
+                lower = _summed(chain[:, 0], v, np.ones(len(v), np.int64), chain[:, 1:])
+                for cols in _dealt(*lower, parts, hot[level - 3]):
+                    yield row(dict(zip(("part", "u", "runs", "chain", "v", "n"), cols, strict=True)), 1)
+            some = [int((n == i).sum()) for i in (1, 2, 3, 4)]
+            yield row({x: pa.array([y], pa.int64()) for x, y in zip(_SUMS[-4:], some, strict=True)}, 1)
+
+    return run
+
+
+def _hot_contexts(texts: DataFrame, parts: int, order: int) -> tuple[tuple[int, ...], ...]:
+    """By order, contexts that hold more than half a part's mean share of the tokens, at most 2 * parts of them; found in every
     64th text by hash. They decide only where pairs are counted, so a context that is missed changes no result."""
     least = 1 / (2 * parts)
 
     def run(batches):
-        held: dict[int, int] = {}
+        held: dict[tuple[int, int], int] = {}
         n = 0
         for batch in batches:
             for _, _, data, offsets in bytescan.text_blocks(batch.column(0)):
-                u, k = np.unique(_tokens(data, offsets)[1], return_counts=True)
-                n += int(k.sum())
-                often = k >= least * k.sum() / 8
-                for x, c in zip(u[often].tolist(), k[often].tolist(), strict=True):
-                    held[x] = held.get(x, 0) + c
+                token, before, starts = _tokens(data, offsets)
+                n += len(token)
+                for level, context in enumerate(_contexts(before, starts, order), 2):
+                    u, k = np.unique(context, return_counts=True)
+                    often = k >= least * len(token) / 8
+                    for x, c in zip(u[often].tolist(), k[often].tolist(), strict=True):
+                        held[level, x] = held.get((level, x), 0) + c
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([0, *held], np.uint64).view(np.int64)), pa.array([n, *held.values()], pa.int64()), pa.array([True] + [False] * len(held))], names=["u", "n", "whole"])
+            levels, contexts = [0, *(x for x, _ in held)], np.array([0, *(x for _, x in held)], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array(_signed(contexts)), pa.array([n, *held.values()], pa.int64())], names=["level", "u", "n"])
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).mapInArrow(run, "u long, n long, whole boolean").groupBy("u", "whole").agg(F.sum("n").alias("n"))
-    total = some.where("whole").agg(F.sum("n")).first()[0]
-    if not total:
-        return ()
-    found = some.where(~F.col("whole") & (F.col("n") >= least * total)).select("u").collect()
-    return tuple(sorted(r.u % (1 << 64) for r in found))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).mapInArrow(run, "level int, u long, n long").groupBy("level", "u").agg(F.sum("n").alias("n"))
+    total = some.where("level = 0").agg(F.sum("n")).first()[0]
+    found = some.where((F.col("level") > 0) & (F.col("n") >= least * total)).select("level", "u").collect() if total else []
+    return tuple(tuple(sorted(r.u % (1 << 64) for r in found if r.level == level)) for level in range(2, order + 1))
 
 
 def _with_part(parts: int):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_part(np.asarray(batch.column(0)).view(np.uint64), parts)), *batch.columns], names=["part", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(_part(np.asarray(batch.column("h")).view(np.uint64), parts)), *batch.columns], names=["part", *batch.schema.names])
 
     return run
 
@@ -276,24 +343,28 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(x, T.LongType()) for x in added[:2]], *[T.StructField(x, T.DoubleType()) for x in added[2:]]])
     m = model
 
-    def block(token, before):
+    def block(token, contexts):
         """Per token: known, log10 of the base and of the model."""
         words, at = np.unique(token, return_inverse=True)
-        c, p1 = _lookup(words, _part(words, m.parts), m.folder, "word", "c", "p", defaults=(0, m.lower_rest))
-        contexts, ctx = np.unique(before, return_inverse=True)
-        total, gamma = _lookup(contexts, _part(contexts, m.parts), m.folder, "word", "total", "gamma", defaults=(0, 1.0))
-        key = _pair(before, token)
-        (n,) = _lookup(key, _pair_part(before, key, m.parts, m.hot), m.folder, "pair", "n", defaults=(0,))
-        high = np.maximum(n - np.choose(np.minimum(n, 3), (0.0, *m.discounts)), 0) / np.maximum(total[ctx], 1)
+        c, p = _lookup(words, _part(words, m.parts), m.folder, "word", "c", "p", defaults=(0, m.lower_rest))
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
-        return c[at] > 0, base[at], np.log10(high + gamma[ctx] * p1[at])
+        p = p[at]
+        for level, (context, d, hot) in enumerate(zip(contexts, m.discounts, m.hot, strict=True), 2):
+            each, ctx = np.unique(context, return_inverse=True)
+            total, gamma = _lookup(each, _part(each, m.parts), m.folder, f"context-{level}", "total", "gamma", defaults=(0, 1.0))
+            key = _pair(context, token)
+            (n,) = _lookup(key, _pair_part(context, key, m.parts, hot), m.folder, f"pair-{level}", "n", defaults=(0,))
+            high = np.maximum(n - np.choose(np.minimum(n, 3), (0.0, *d)), 0) / np.maximum(total[ctx], 1)
+            p = high + gamma[ctx] * p
+        return c[at] > 0, base[at], np.log10(p)
 
     def run(batches):
         for batch in batches:
             sums = [[], [], [], []]
             for _, _, data, offsets in bytescan.text_blocks(batch.column(len(keep)), 2 << 20):
                 token, before, starts = _tokens(data, offsets)
-                parts = [block(token[a : a + _CHUNK], before[a : a + _CHUNK]) for a in range(0, len(token), _CHUNK)]
+                contexts = _contexts(before, starts, len(m.discounts) + 1)
+                parts = [block(token[a : a + _CHUNK], [c[a : a + _CHUNK] for c in contexts]) for a in range(0, len(token), _CHUNK)]
                 known, base, own = (np.concatenate(x) for x in zip(*parts, strict=True))
                 sums[0].append(np.diff(np.r_[starts, len(token)]))
                 for s, x in zip(sums[1:], (known.astype(np.int64), base, own), strict=True):

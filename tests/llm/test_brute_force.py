@@ -72,16 +72,19 @@ def test_op6_edges(spark):
     assert media.features(media.store(table.limit(0))).count() == 0
 
 
-def kneser_ney(texts):
+def kneser_ney(texts, order=2):
     """Base and model score of a text by the formulas, from dictionaries."""
-    lines = [["<s>", *words((t or "").translate(FOLD)), "</s>"] for t in texts]
-    pair = Counter(p for x in lines for p in zip(x, x[1:], strict=False))
-    uni = Counter(w for x in lines for w in x[1:])
-    before, after = defaultdict(set), defaultdict(list)
-    for (u, v), n in pair.items():
-        before[v].add(u)
-        after[u].append(n)
-    kinds = {w: len(x) for w, x in before.items()}
+    padded = lambda t: ["<s>"] * (order - 1) + words((t or "").translate(FOLD)) + ["</s>"]
+    grams = lambda x: [tuple(x[i - order + 1 : i + 1]) for i in range(order - 1, len(x))]
+    raw = [g for t in texts for g in grams(padded(t))]
+    counts = {order: Counter(raw)}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    uni = Counter(g[-1] for g in raw)
+    after = defaultdict(list)
+    for k in range(2, order + 1):
+        for g, n in counts[k].items():
+            after[g[:-1]].append(n)
 
     def discounts(values):
         n = [sum(x == k for x in values) for k in (1, 2, 3, 4)]
@@ -90,20 +93,23 @@ def kneser_ney(texts):
         y = n[0] / (n[0] + 2 * n[1])
         return [0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
 
-    d, e = discounts(pair.values()), discounts(kinds.values())
-    total, types, v_ = sum(uni.values()), sum(kinds.values()), len(uni)
-    rest = sum(e[min(k, 3)] for k in kinds.values()) / types / (v_ + 1)
-    low = lambda w: (max(kinds[w] - e[min(kinds[w], 3)], 0) / types if w in kinds else 0) + rest
+    d = {k: discounts(c.values()) for k, c in counts.items()}
+    total, types, v_ = sum(uni.values()), sum(counts[1].values()), len(uni)
+    rest = sum(d[1][min(n, 3)] for n in counts[1].values()) / types / (v_ + 1)
+
+    def p(gram):
+        n = counts[len(gram)][gram]
+        if len(gram) == 1:
+            return max(n - d[1][min(n, 3)], 0) / types + rest
+        of = d[len(gram)]
+        held = sum(after[gram[:-1]])
+        gamma = sum(of[min(c, 3)] for c in after[gram[:-1]]) / held if held else 1.0
+        return (max(n - of[min(n, 3)], 0) / held if n else 0) + gamma * p(gram[1:])
 
     def score(text):
-        x = ["<s>", *words((text or "").translate(FOLD)), "</s>"]
-        base = own = 0.0
-        for u, w in zip(x, x[1:], strict=False):
-            base += math.log10((uni[w] + 0.1) / (total + 0.1 * (v_ + 1)))
-            n, held = pair[u, w], sum(after[u])
-            gamma = sum(d[min(c, 3)] for c in after[u]) / held if held else 1.0
-            own += math.log10((max(n - d[min(n, 3)], 0) / held if n else 0) + gamma * low(w))
-        return len(x) - 1, sum(uni[w] > 0 for w in x[1:]), base, own
+        own = grams(padded(text))
+        base = sum(math.log10((uni[g[-1]] + 0.1) / (total + 0.1 * (v_ + 1))) for g in own)
+        return len(own), sum(uni[g[-1]] > 0 for g in own), base, sum(math.log10(p(g)) for g in own)
 
     return total, score
 
@@ -126,13 +132,35 @@ def test_op8_edges_and_hot_contexts(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (None, None), (5, "")]
     table = clashing(spark, rows, "doc_id int, text string").withColumn("score", F.lit("x")).repartition(5)
     model = kneserney.train(table, parts=5)
-    assert model.hot and model.parts == 5
+    assert any(model.hot) and model.parts == 5
     total, score = kneser_ney([t for _, t in rows])
     got = sorted((x.n_tokens, round(x.score, 6)) for x in kneserney.score(table, model).collect())
     assert model.tokens == total and got == sorted((score(t)[0], round(score(t)[3], 6)) for _, t in rows)
     assert kneserney.score(table.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_op8_higher_orders(spark, documents, order):
+    r = random.Random(3)
+    some = [x.text for x in documents[:60]]
+    rows = [(t,) for t in some + some[:3] + [" ".join(f"w{r.randrange(4)}" for _ in range(r.randint(0, 30))) for _ in range(300)] + [None, "", "One two"]]
+    table = spark.createDataFrame(rows, "text string").repartition(4)
+    model = kneserney.train(table, parts=3, order=order)
+    _, score = kneser_ney([t for (t,) in rows], order)
+    seen = rows + [("never seen words here",), ("w1 w2 unseen w1 w2 w3",)]
+    got = kneserney.score(spark.createDataFrame(seen, "text string"), model).collect()
+    assert len(model.discounts) == order - 1 and len(got) == len(seen)
+    for g in got:
+        n, known, base, own = score(g.text)
+        assert (g.n_tokens, g.n_known) == (n, known)
+        assert math.isclose(g.base_score, base, rel_tol=1e-9) and math.isclose(g.score, own, rel_tol=1e-9)
+
+
+def test_op8_order_of_one_is_refused(spark):
+    with pytest.raises(ValueError):
+        kneserney.train(spark.createDataFrame([("a",)], "text string"), order=1)
+
+
 def test_op10_names_languages_it_did_not_see(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
